@@ -2,13 +2,52 @@
 
 from __future__ import annotations
 
-from docveil.llm import encoding, shared_spans
+from pyspark.sql import functions as F
+
+from docveil.llm import consistent, encoding, mojibake, pieces, shared_spans, tables
+
+WORD = ["doc", "page_no", "word_no"]
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark, d):
+    return pieces.oversized(table(spark, d, "paragraphs"), table(spark, d, "detectors"), ["doc", "para_no"])
+
+
+def p1_pieces(spark, d):
+    paragraphs = tables.latest(table(spark, d, "paragraphs"), ["doc", "para_no"], ["text", "detector_id"])
+    return pieces.pieces(paragraphs, table(spark, d, "detectors"), ["doc", "para_no"])
+
+
+def _words(spark, d):
+    return tables.words_with_lang(table(spark, d, "words"), table(spark, d, "paragraphs"))
+
+
+def _wrong_words(words):
+    return mojibake.repair(words.withColumn("source", F.col("doc")), WORD, tables.checkpointed)
+
+
+def p2_found(spark, d):
+    return _wrong_words(_words(spark, d)).select(*WORD)
+
+
+def p2_repaired(spark, d):
+    return _wrong_words(_words(spark, d)).select(*WORD, "text", "restored", "chain", "posterior")
+
+
+def p4_found(spark, d):
+    words = tables.checkpointed(_words(spark, d))
+    changed = consistent.consistent(words).where("plain <> text").select(*WORD)
+    return changed.join(_wrong_words(words).select(*WORD), WORD, "left_anti")
+
+
+def p4_words(spark, d):
+    return consistent.consistent(_words(spark, d)).select(*WORD, "text", "plain")
+
+
 def p6_ids(spark, d):
     return encoding.encode(table(spark, d, "documents"))
 
@@ -25,5 +64,15 @@ def p8_report(spark, d):
     return shared_spans.shared_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found, p8_ranges, p8_report)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p4_words, p6_ids, p8_found, p8_ranges, p8_report)}
+
+ORACLE: dict[str, str] = {
+    "p1_found": """
+        WITH det AS (SELECT * FROM detectors WHERE max_seq_len IS NOT NULL),
+        p AS (SELECT doc, para_no, arg_max(text, loaded_at) AS text, arg_max(coalesce(detector_id, ''), loaded_at) AS det_id FROM paragraphs GROUP BY doc, para_no),
+        q AS (SELECT p.*, coalesce(d.unit, b.unit) AS unit, coalesce(d.max_seq_len, b.max_seq_len) AS size
+              FROM p LEFT JOIN det d ON p.det_id = d.detector_id CROSS JOIN (SELECT * FROM det WHERE is_default) b)
+        SELECT doc, para_no FROM q
+        WHERE CASE WHEN unit = 'words' THEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) ELSE length(text) END > size
+    """,
+}
