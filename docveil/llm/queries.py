@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docveil.llm import consistent, encoding, mojibake, pieces, shared_spans, tables
+from docveil.llm import consistent, encoding, mojibake, pieces, sentences, shared_spans, tables
 
 WORD = ["doc", "page_no", "word_no"]
 
@@ -48,6 +48,17 @@ def p4_words(spark, d):
     return consistent.consistent(_words(spark, d)).select(*WORD, "text", "plain")
 
 
+def _repaired_paragraphs(spark, d):
+    """Paragraphs with their language and the repairs of their wrong words."""
+    words = _words(spark, d)
+    wrong = mojibake.repair(words.withColumn("source", F.col("doc")), [*WORD, "para_no", "start_pos", "end_pos"], tables.checkpointed)
+    return tables.with_repairs(tables.paragraphs_with_lang(table(spark, d, "paragraphs"), "is_heading"), wrong)
+
+
+def p5_found(spark, d):
+    return sentences.sentences(_repaired_paragraphs(spark, d), ["doc", "para_no"], repairs_col="repairs").drop("sentence_no")
+
+
 def p6_ids(spark, d):
     return encoding.encode(table(spark, d, "documents"))
 
@@ -64,7 +75,7 @@ def p8_report(spark, d):
     return shared_spans.shared_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p4_words, p6_ids, p8_found, p8_ranges, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p4_words, p5_found, p6_ids, p8_found, p8_ranges, p8_report)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
