@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docveil.llm import consistent, encoding, mojibake, pieces, sentences, shared_spans, tables
+from docveil.llm import consistent, encoding, mixing, mojibake, personal, pieces, sentences, shared_spans, tables
 
 WORD = ["doc", "page_no", "word_no"]
 
@@ -38,6 +38,20 @@ def p2_repaired(spark, d):
     return _wrong_words(_words(spark, d)).select(*WORD, "text", "restored", "chain", "posterior")
 
 
+def _items(spark, d):
+    paragraphs = tables.checkpointed(_repaired_paragraphs(spark, d))
+    return paragraphs, personal.items(paragraphs, table(spark, d, "spans"), ["doc", "para_no"])
+
+
+def p3_found(spark, d):
+    return _items(spark, d)[1]
+
+
+def p3_masked(spark, d):
+    paragraphs, found = _items(spark, d)
+    return personal.masked(paragraphs, found, ["doc", "para_no"])
+
+
 def p4_found(spark, d):
     words = tables.checkpointed(_words(spark, d))
     changed = consistent.consistent(words).where("plain <> text").select(*WORD)
@@ -63,6 +77,23 @@ def p6_ids(spark, d):
     return encoding.encode(table(spark, d, "documents"))
 
 
+def _mix(spark, d):
+    documents = table(spark, d, "documents")
+    targets = table(spark, d, "mix_targets")
+    listed = documents.join(targets.select("source").distinct(), "source", "left_semi")
+    # sizes are counted once and written to the shared folder: three passes read them
+    sized = tables.checkpointed(encoding.token_counts(listed, ["doc_id", "source"]))
+    return mixing.mix(sized, targets)
+
+
+def p7_mix(spark, d):
+    return _mix(spark, d)[0]
+
+
+def p7_report(spark, d):
+    return _mix(spark, d)[1]
+
+
 def p8_found(spark, d):
     return shared_spans.shared_pairs(table(spark, d, "documents"))
 
@@ -75,7 +106,7 @@ def p8_report(spark, d):
     return shared_spans.shared_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p4_found, p4_words, p5_found, p6_ids, p8_found, p8_ranges, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_ranges, p8_report)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
