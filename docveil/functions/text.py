@@ -11,7 +11,7 @@ PUNCTUATION = r"""!-/:-@\[-`{-~"""
 
 def masked_word(word: Column) -> Column:
     """A block for each character, one at least; null stays null."""
-    return F.repeat(F.lit(BLOCK), F.greatest(F.char_length(word), F.lit(1)))
+    return F.when(word.isNotNull(), F.repeat(F.lit(BLOCK), F.greatest(F.char_length(word), F.lit(1))))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

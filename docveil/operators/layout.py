@@ -66,18 +66,27 @@ def first_words(marked: DataFrame) -> DataFrame:
     return words.where("text <> ''")
 
 
-def second_pass(letters: DataFrame) -> DataFrame:
-    """Words as used from here on: doc, page_no, word_no, text, bbox, font_size, baseline_y, n_letters.
-
-    Letters are ordered by baseline and place; ties by the words of the first pass.
-    """
+def _second_marks(letters: DataFrame) -> DataFrame:
+    """Letters with ord2 and word_no of the second pass."""
     marked = first_pass(letters)
     heads = first_words(marked).select(*PAGE, "word1", F.col("baseline_y").alias("head_b"), F.col("bbox.x").alias("head_x"))
     rows = marked.join(heads, [*PAGE, "word1"])
     w = W.partitionBy(*PAGE).orderBy(F.col("baseline_y").desc(), F.col("bbox.x"), F.col("head_b").desc(), "head_x", "word1", "ord1")
     rows = rows.withColumn("ord2", F.row_number().over(w)).withColumn("new", _starts(w))
-    rows = rows.withColumn("word_no", F.sum("new").over(w).cast("int"))
-    return rows.groupBy(*PAGE, "word_no").agg(*_union([F.col("ord2").alias("k_ord")]), F.count("*").alias("n_letters"))
+    return rows.withColumn("word_no", F.sum("new").over(w).cast("int"))
+
+
+def word_sources(letters: DataFrame) -> DataFrame:
+    """doc, page_no, word_no and letters: where in the content stream each of a word's letters stands."""
+    return _second_marks(letters).groupBy(*PAGE, "word_no").agg(F.collect_list("src").alias("letters"))
+
+
+def second_pass(letters: DataFrame) -> DataFrame:
+    """Words as used from here on: doc, page_no, word_no, text, bbox, font_size, baseline_y, n_letters.
+
+    Letters are ordered by baseline and place; ties by the words of the first pass.
+    """
+    return _second_marks(letters).groupBy(*PAGE, "word_no").agg(*_union([F.col("ord2").alias("k_ord")]), F.count("*").alias("n_letters"))
 
 
 def global_font(letters: DataFrame) -> DataFrame:

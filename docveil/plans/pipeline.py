@@ -5,31 +5,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docveil.functions import patterns
-from docveil.functions.text import hit, masked_word
+from docveil.functions.text import BLOCK, output_path, stem
+from docveil.operators import layout, markdown, redaction
+from docveil.sinks import pdf_writer
+from docveil.sources import listing, pdf
 
 
 def masked_texts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, masked_text, n_masked, n_spans: words (cut at blanks) that a span of any pattern overlaps become blocks.
 
-    One scan without shuffle; all in expressions. Null text stays null with counts of 0.
+    One scan without shuffle; all in expressions, whose work grows with the number of
+    spans of a text, not of its words. Null text stays null with counts of 0.
     """
     text = F.col("masking_text")
     rows = df.select(*keys, F.col(text_col).alias("masking_text"))
-    # a generator keeps the optimizer from repeating the search for every word
+    # a generator keeps the optimizer from repeating the search wherever its result is used
     rows = rows.withColumn("masking_spans", F.explode(F.array(patterns.all_spans(text))))
+    # each span's words: from the blank before it to the blank behind it
+    def extent(s):
+        back = F.locate(" ", F.reverse(F.substring(text, F.lit(1), s["start_pos"])))
+        ahead = F.locate(" ", F.substring(text, s["end_pos"] + 1, F.char_length(text)))
+        first = F.when(back == 0, F.lit(0)).otherwise(s["start_pos"] - back + 1)
+        last = F.when(ahead == 0, F.char_length(text)).otherwise(s["end_pos"] + ahead - 1)
+        return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+
+    rows = rows.withColumn("masking_extents", F.explode(F.array(F.transform("masking_spans", extent))))
+    kind = "struct<at:int,n:int,out:array<string>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")).cast(kind)
+
+    def step(acc, x):
+        first = F.greatest(acc["at"], x["first"])
+        hidden = F.substring(text, first + 1, x["last"] - first)
+        shown = F.substring(text, acc["at"] + 1, first - acc["at"])
+        more = F.struct(x["last"].alias("at"), (acc["n"] + F.regexp_count(hidden, F.lit("[^ ]+"))).cast("int").alias("n"), F.concat(acc["out"], F.array(shown, F.regexp_replace(hidden, "[^ ]", BLOCK))).alias("out")).cast(kind)
+        return F.when(x["last"] > acc["at"], more).otherwise(acc)
+
     some = F.coalesce(F.size("masking_spans"), F.lit(0)) > 0
-    rows = rows.withColumn("n_spans", F.when(F.col("masking_spans").isNull(), 0).otherwise(F.size("masking_spans")))
-    words = F.split(text, " ", -1)
-    place = "struct<at:int,out:array<struct<w:string,hit:boolean>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,hit:boolean>>").alias("out")).cast(place)
-
-    def step(acc, w):
-        end = acc["at"] + F.char_length(w)
-        one = F.struct(w.alias("w"), hit(acc["at"], end, F.col("masking_spans")).alias("hit"))
-        return F.struct((end + 1).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(place)
-
-    rows = rows.withColumn("masking_words", F.when(some, F.aggregate(words, start, step, lambda a: a["out"])))
-    shown = F.array_join(F.transform("masking_words", lambda x: F.when(x["hit"], masked_word(x["w"])).otherwise(x["w"])), " ")
+    rows = rows.withColumn("masking", F.explode(F.array(F.when(some, F.aggregate("masking_extents", start, step)))))
+    rest = F.substring(text, F.col("masking.at") + 1, F.char_length(text))
     return rows.select(
-        *keys, F.when(some, shown).otherwise(text).alias("masked_text"), F.when(some, F.size(F.filter("masking_words", lambda x: x["hit"]))).otherwise(0).cast("long").alias("n_masked"), F.col("n_spans").cast("long").alias("n_spans")
+        *keys, F.when(some, F.concat(F.array_join("masking.out", ""), rest)).otherwise(text).alias("masked_text"), F.coalesce(F.col("masking.n"), F.lit(0)).cast("long").alias("n_masked"),
+        F.when(some, F.size("masking_spans")).otherwise(0).cast("long").alias("n_spans"),
     )
+
+
+def redact_files(files: DataFrame, ner=None, faces=None, doc_col: str = "path") -> dict[str, DataFrame]:
+    """The whole way of PDF files: letters, layout, finds, targets, and both outputs.
+
+    `ner` is a function from paragraphs (doc, para_no, text) to spans, `faces` one from
+    files to (doc, obj_id); both are optional. Gives DataFrames: letters, words,
+    paragraphs, spans, targets, counts, pdf (doc, content, ...), markdown (doc, markdown),
+    errors (doc, error).
+    """
+    read = pdf.letters(files, doc_col)
+    letters = read.where("error is null")
+    words, paragraphs = layout.paragraphs(letters)
+    keys = ["doc", "para_no"]
+    spans = redaction.regex_spans(paragraphs, keys)
+    found = ner(paragraphs) if ner is not None else spans.limit(0)
+    targets = redaction.targets(words, found.where("start_pos is not null"), spans, keys)
+    sources = layout.word_sources(letters)
+    letters_of = targets.join(sources, ["doc", "page_no", "word_no"]).select("doc", "page_no", "bbox", "letters")
+    shown = markdown.rendered(words, targets, ["doc", "page_no", "word_no"], keys, ["block_ord", "line_no", "pos"])
+    names = files.select(F.col(doc_col).alias("doc"), stem(F.col(doc_col)).alias("name"))
+    return {
+        "letters": letters, "words": words, "paragraphs": paragraphs, "spans": spans, "targets": targets, "counts": redaction.counts(targets),
+        "pdf": pdf_writer.redacted(files, letters_of, faces(files) if faces is not None else None, doc_col),
+        "markdown": markdown.export(paragraphs.join(shown, keys, "left"), names), "errors": read.where("error is not null").select("doc", "error"),
+    }
+
+
+def run(spark, paths: list[str], ner=None, faces=None) -> dict[str, int]:
+    """Redacts the pending files of folders and single files; writes `<stem>.anon.pdf` and `<stem>.anon.md` beside each."""
+    files = listing.read_files(spark, paths)
+    todo = listing.pending(files).select("path", "content")
+    return write(todo, ner, faces)
+
+
+def write(todo: DataFrame, ner=None, faces=None) -> dict[str, int]:
+    """Both outputs of the given files. Markdown first: a file counts as done by its PDF."""
+    out = redact_files(todo, ner, faces)
+    texts = out["markdown"].select(F.regexp_replace(output_path(F.col("doc")), r"\.pdf$", ".md").alias("path"), F.col("markdown").alias("content"))
+    pdfs = out["pdf"].where("content is not null").select(output_path(F.col("doc")).alias("path"), "content")
+    return {"markdown": pdf_writer.write_files(texts), "pdf": pdf_writer.write_files(pdfs), "errors": out["errors"].count()}
