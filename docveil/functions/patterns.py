@@ -15,10 +15,15 @@ PERSON = (
     rf"(?m)^(?:#+\s*)?[{UPPER}][{LOWER}]+(?:[-'][{UPPER}][{LOWER}]+)?[{BLANK}]+"
     rf"(?:[{UPPER}]{{3,}}(?:[-'’][{UPPER}]{{2,}}){{0,200}}|(?:[{UPPER}][{BLANK}]+){{2,200}}[{UPPER}])\b"
 )
-EMAIL = r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+#: Without regard to case, these two also stand for a letter (long s, Kelvin sign); naming them is faster than the flag.
+FOLDED = r"\x{017F}\x{212A}"
+EMAIL = rf"\b[A-Za-z0-9._%+{FOLDED}-]+@[A-Za-z0-9.{FOLDED}-]+\.[A-Za-z{FOLDED}]{{2,}}\b"
 PHONE = r"(?:(?:\+|00)33|0)\s*[1-9][\s.\d-]*\d\b"
 DATE = r"\b\d{2}[/-]\d{2}[/-]\d{4}\b"
-URL = r"(?i)(?:(?:https?:)?//)?(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*"
+URL = (
+    rf"(?:(?:[hH][tT][tT][pP][sS\x{{017F}}]?:)?//)?(?:[wW]{{3}}\.)?[-a-zA-Z0-9@:%._+~#={FOLDED}]{{1,256}}\."
+    rf"[a-zA-Z0-9(){FOLDED}]{{1,6}}\b[-a-zA-Z0-9()@:%_+.~#?&/={FOLDED}]*"
+)
 #: In the order in which equal starts are listed.
 DETECTORS = {"NOM_PERSONNE": PERSON, "EMAIL": EMAIL, "PHONE": PHONE, "DATE": DATE, "URL": URL}
 #: What a text must contain at least for a match; saves the costlier search.
@@ -39,14 +44,14 @@ def spans_of(text: Column, label: str, pattern: str) -> Column:
     """
     p = F.lit(java(pattern))
     matches = F.regexp_extract_all(text, p, F.lit(0))
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(F.split(text, java(pattern), -1), 1, F.size(matches)).alias("g"))
+    pairs = F.arrays_zip(matches.alias("m"), F.split(text, java(pattern), -1).alias("g"))  # the last gap has no match
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["g"])
         end = begin + F.char_length(x["m"])
         span = F.struct(begin.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.lit(label).alias("label"), F.lit("regex").alias("engine"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
     found = F.aggregate(pairs, start, step, lambda a: a["out"])
     hint = HINTS.get(label)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Thresholds in units of font size, line height or points.
@@ -25,7 +25,8 @@ PAGE = ["doc", "page_no"]
 def visible(letters: DataFrame) -> DataFrame:
     """Distinct letters that show: no null, blank or no-break values; duplicate (doc, page_no, seq) count once."""
     own = letters.where(F.col("value").isNotNull() & ~F.regexp_like("value", F.lit(BLANK)))
-    return own.dropDuplicates([*PAGE, "seq"])
+    # spread by page at once: every window and group from here on is within a page
+    return own.repartition(*PAGE).dropDuplicates([*PAGE, "seq"])
 
 
 def _starts(w) -> Column:
@@ -69,8 +70,9 @@ def first_words(marked: DataFrame) -> DataFrame:
 def _second_marks(letters: DataFrame) -> DataFrame:
     """Letters with ord2 and word_no of the second pass."""
     marked = first_pass(letters)
-    heads = first_words(marked).select(*PAGE, "word1", F.col("baseline_y").alias("head_b"), F.col("bbox.x").alias("head_x"))
-    rows = marked.join(heads, [*PAGE, "word1"])
+    # the leftmost letter of each word of the first pass; visible letters make no blank words
+    head = F.min(F.struct(F.col("bbox.x").alias("x"), "ord1", F.col("baseline_y").alias("b"))).over(W.partitionBy(*PAGE, "word1"))
+    rows = marked.withColumn("head", head).withColumn("head_b", F.col("head.b")).withColumn("head_x", F.col("head.x"))
     w = W.partitionBy(*PAGE).orderBy(F.col("baseline_y").desc(), F.col("bbox.x"), F.col("head_b").desc(), "head_x", "word1", "ord1")
     rows = rows.withColumn("ord2", F.row_number().over(w)).withColumn("new", _starts(w))
     return rows.withColumn("word_no", F.sum("new").over(w).cast("int"))
@@ -94,6 +96,7 @@ def global_font(letters: DataFrame) -> DataFrame:
     return first_words(first_pass(letters)).groupBy("doc").agg(F.avg("font_size").alias("mean_font"))
 
 
+GROUPED_ARROW = pa.schema([("doc", pa.string()), *((c, pa.int32()) for c in ("page_no", "word_no", "block_no", "line_no", "pos")), ("block_x", pa.float64()), ("block_baseline", pa.float64())])
 GROUPED = "doc string, page_no int, word_no int, block_no int, line_no int, pos int, block_x double, block_baseline double"
 
 
@@ -142,13 +145,23 @@ def blocks(words: DataFrame) -> DataFrame:
     """words with block_no, line_no and pos: their place in the reading order of their page."""
     flat = words.select(*PAGE, "word_no", "bbox.x", "bbox.y", "bbox.width", "bbox.height", "font_size", "baseline_y")
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(group_page(page.to_dict("records")), columns=["word_no", "block_no", "line_no", "pos", "block_x", "block_baseline"])
-        out.insert(0, "page_no", page["page_no"].iloc[0])
-        out.insert(0, "doc", page["doc"].iloc[0])
-        return out
+    def run(batches):
+        page: list[dict] = []
 
-    placed = flat.groupBy(*PAGE).applyInPandas(run, GROUPED)
+        def done():
+            placed = [{"doc": page[0]["doc"], "page_no": page[0]["page_no"], **r} for r in group_page(page)]
+            return pa.RecordBatch.from_pylist(placed, schema=GROUPED_ARROW)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if page and (page[0]["doc"], page[0]["page_no"]) != (r["doc"], r["page_no"]):
+                    yield done()
+                    page = []
+                page.append(r)
+        if page:
+            yield done()
+
+    placed = flat.repartition(*PAGE).sortWithinPartitions(*PAGE, "word_no").mapInArrow(run, GROUPED)
     return words.join(placed, [*PAGE, "word_no"])
 
 

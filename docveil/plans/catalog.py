@@ -24,6 +24,12 @@ def table(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for costly expressions: one of fewer partitions than cores is dealt over them; larger ones stay without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def words_of(spark, d) -> DataFrame:
     return table(spark, d, "words").dropDuplicates(WORD)
 
@@ -114,7 +120,7 @@ def spans_by_lang(spark, d):
 
 def masked_documents(spark, d):
     """The flagship: words of every document that a detector's span overlaps, as blocks."""
-    return pipeline.masked_texts(table(spark, d, "documents"), ["doc_id"])
+    return pipeline.masked_texts(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def masked_orders(spark, d):
