@@ -29,6 +29,8 @@ from docveil.llm.sentences import REPAIRS, abbreviated, repairs_of, view
 
 #: Labelled paragraphs a language that the model is fitted on; epochs, step size and weight of the penalty.
 SAMPLE, EPOCHS, STEP, PENALTY = 320, 7, 0.25, 1e-4
+#: Epochs of the models that only complete the finds.
+FEW = 4
 TYPES = ["EMAIL", "PHONE", "ID", "ADDRESS", "NAME"]
 # Label names of older finds.
 LABELS = {
@@ -330,11 +332,11 @@ def fit(rows: list[tuple], rounds: int = 4) -> dict[str, float]:
     return {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
 
 
-def trained(examples: list[list], size: int) -> np.ndarray:
+def trained(examples: list[list], size: int, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by stochastic ascent of the likelihood with steps adapted to each feature."""
     w, seen = np.zeros(size), np.full(size, 1e-6)
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for k in rng.permutation(len(examples)):
             flat, cut, lens, before, gold, _ = examples[k]
             delta = gold - marginals(np.add.reduceat(w[flat], cut), before)
@@ -357,7 +359,7 @@ def complete(examples: list[list], size: int) -> None:
     half's probabilities of the finds; it lowers the threshold by as much.
     """
     halves = examples[::2], examples[1::2]
-    models = [trained(h, size) for h in halves]
+    models = [trained(h, size, FEW) for h in halves]
     for half, w in ((halves[0], models[1]), (halves[1], models[0])):
         scored = [np.add.reduceat(w[ex[0]], ex[1]) for ex in half]
         chances = [marginals(x, ex[3]) for x, ex in zip(scored, half)]

@@ -66,7 +66,9 @@ def _repaired_paragraphs(spark, d):
     """Paragraphs with their language and the repairs of their wrong words."""
     words = _words(spark, d)
     wrong = mojibake.repair(words.withColumn("source", F.col("doc")), [*WORD, "para_no", "start_pos", "end_pos"], tables.checkpointed)
-    return tables.with_repairs(tables.paragraphs_with_lang(table(spark, d, "paragraphs"), "is_heading"), wrong)
+    out = tables.with_repairs(tables.paragraphs_with_lang(table(spark, d, "paragraphs"), "is_heading"), wrong)
+    # the functions that follow take long for each row: all shuffle partitions are kept
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "para_no")
 
 
 def p5_found(spark, d):
