@@ -190,6 +190,7 @@ def plain(texts: pa.Array, lang: np.ndarray) -> pa.Array:
     for i, j in groups(offsets, CHUNK):
         own = offsets[i : j + 1] - offsets[i]
         c, o = expanded(cp[offsets[i] : offsets[j]], own, lang[i:j])
+        c, o = composed(c, o)
         c, o = composed(scripted(c, o, lang[i:j]), o)
         out.append(strings(c, o).cast(pa.string()))
     done = pa.concat_arrays(out) if out else pa.array([], pa.string())

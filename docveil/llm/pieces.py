@@ -31,11 +31,13 @@ def cutting_pattern(unit: Column, size: Column, overlap: Column) -> Column:
     """The pattern whose matches, one after the other, are the new parts of the pieces."""
     step = size - overlap
 
-    def least(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.floor(n / 2)).cast("int")
+    def least(n: Column, start: str) -> Column:
+        """Half of what fits; the first piece holds at least what the second repeats."""
+        half = F.greatest(F.lit(1), F.floor(n / 2))
+        return (F.greatest(half, overlap) if start else half).cast("int")
 
     def words(n: Column, start: str) -> Column:
-        more, half = n - 1, least(n) - 1
+        more, half = n - 1, least(n, start) - 1
         some = lambda lo, hi: _text(start, " *+[^ ]++(?: ++[^ ]++){", F.least(lo, hi).cast("string"), ",", hi.cast("string"), "}")
         return _text(
             some(F.lit(0), more), r" *\z", "|", some(half, more), rf"(?<=[{ENDS}][{CLOSING}]{{0,2}})(?= |\z)", "|", some(half, more), rf"(?<=[{CLAUSES}])(?= |\z)", "|", some(more, more)
@@ -43,7 +45,7 @@ def cutting_pattern(unit: Column, size: Column, overlap: Column) -> Column:
 
     def chars(n: Column, start: str) -> Column:
         some = lambda lo: _text(start, "(?s:.){", lo.cast("string"), ",", n.cast("string"), "}")
-        half = least(n)
+        half = least(n, start)
         return _text(
             some(F.lit(1)), r"\z", "|", some(half), rf"(?<=[。！？｡।॥؟۔][{CLOSING}]{{0,2}})(?![{CLOSING}])", "|", some(half), rf"(?<=[{ENDS}][{CLOSING}]{{0,2}})(?= )", "|",
             some(half), rf"(?<=[{CLAUSES}])(?![{CLOSING}0-9])", "|", some(half), "(?= )", "|", start, "(?s:.){", n.cast("string"), "}",

@@ -321,7 +321,7 @@ def sentence_ranges(text: str | None, lang: str | None, heading: bool = False, r
         return [(lead, len(text.rstrip()))]
     plain, at = view(text, lang or "", repairs)
     out = []
-    ranges = split(plain, lang or "")
+    ranges = split(plain, lang or "") or [(0, len(plain))]
     for k, (a, b) in enumerate(ranges):
         first = 0 if k == 0 else at[a]
         last = len(text) if k == len(ranges) - 1 else at[b]
