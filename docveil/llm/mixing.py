@@ -63,6 +63,7 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col
     wanted = [(r[source_col], r["target_share"], r["max_repeats"]) for r in targets.groupBy(source_col).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where(F.col(source_col).isNotNull()).orderBy(source_col).collect()]
     names = [s for s, _, _ in wanted]
     docs = sized.where(F.col(id_col).isNotNull() & F.col(source_col).isin(names) & (F.col(size_col) > 0)).select(id_col, source_col, F.col(size_col).cast("long").alias(size_col))
+    docs = docs.groupBy(id_col).agg(F.max(F.struct(source_col, size_col)).alias("one")).select(id_col, "one.*")
     sums = {r[source_col]: (r["size"], r["largest"]) for r in docs.groupBy(source_col).agg(F.sum(size_col).alias("size"), F.max(size_col).alias("largest")).collect()}
     total = sum(s for s, _ in sums.values())
     give = allocation({s: v[0] for s, v in sums.items()}, wanted, total)

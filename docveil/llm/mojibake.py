@@ -11,6 +11,7 @@ not restored. The same operator serves any field that has a source and a languag
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -100,19 +101,24 @@ def read(stretches: list[str | bytes], written: str) -> str | None:
     return "".join(out)
 
 
-def within_ascii(word: str, text: str) -> bool:
-    """Whether a changed character stands between two ASCII letters."""
-    if len(word) != len(text):
-        return False
-    edge = f" {word} "
-    return any(a != b and edge[i].isascii() and edge[i].isalpha() and edge[i + 2].isascii() and edge[i + 2].isalpha() for i, (a, b) in enumerate(zip(word, text)))
+_latin_run = re.compile(r"[A-Za-z0-9À-ÿ._%+@\-]{5,}")
+
+
+def has_latin_name(word: str) -> bool:
+    """Whether the word holds a run of ASCII letters with one or two accented ones inside, as names of mailboxes and sites have."""
+    for m in _latin_run.finditer(word):
+        strange = [i for i, c in enumerate(m[0]) if c > "\x7f"]
+        if 1 <= len(strange) <= 2 and sum(c.isascii() and c.isalpha() for c in m[0]) >= 4:
+            if any(0 < i < len(m[0]) - 1 and m[0][i - 1].isascii() and m[0][i + 1].isascii() for i in strange):
+                return True
+    return False
 
 
 def readings(word: str, langs: tuple[str, ...]) -> dict[str, str]:
     """Chain name -> the text that the chain would have come from, where that differs from the word."""
     out: dict[str, str] = {}
     seen = set()
-    latin = any(lang in LATIN_EXTRA for lang in langs)
+    name = not any(lang in LATIN_EXTRA for lang in langs) and has_latin_name(word)
     for taken in TAKEN_FOR:
         stretches = parts(word, taken)
         if not any(isinstance(s, bytes) and max(s) > 0x7F for s in stretches):
@@ -123,8 +129,8 @@ def readings(word: str, langs: tuple[str, ...]) -> dict[str, str]:
             text = read(stretches, written)
             if text is None or text == word or text in seen:
                 continue
-            # the Latin letters of an address are no single-byte text of another script
-            if not latin and written != "utf-8" and written not in SEVERAL and within_ascii(word, text):
+            # the Latin letters of an address are no text of another script
+            if name and written != "utf-8":
                 continue
             seen.add(text)
             out[f"{written}>{taken}"] = text
@@ -222,7 +228,7 @@ def repair(cells: DataFrame, keys: list[str], checkpoint=None) -> DataFrame:
     """
     spark = cells.sparkSession
     cells = cells.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    cells = cells.withColumn("lang", F.lower("lang"))
+    cells = cells.withColumn("lang", F.when(F.lower("lang").isin(LANGS), F.lower("lang")))
     words = cells.groupBy("source", "lang", "text").agg(F.count("*").alias("n"))
     if checkpoint:
         words = checkpoint(words)
@@ -240,3 +246,26 @@ def repair(cells: DataFrame, keys: list[str], checkpoint=None) -> DataFrame:
     same = (F.col("c.source") == F.col("w.source")) & F.col("c.lang").eqNullSafe(F.col("w.lang")) & (F.col("c.text") == F.col("w.text"))
     out = cells.alias("c").join(wrong.alias("w"), same).select(*[f"c.{k}" for k in keys], "c.lang", "c.text", "w.restored", "w.chain", "w.posterior")
     return out.dropDuplicates(keys)
+
+
+def wrong_glyphs(decoders: DataFrame, letters: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Entries of fonts' maps that hold wrong characters: doc, font_no, code, value, restored (null if it can't be told), n_letters.
+
+    A map has no language of its own, so its letters vote: an entry is wrong if most of
+    the letters drawn with it stand in wrong words and, where the word's characters stand
+    one for one against the restored ones, differ from them. `letters` has doc, page_no,
+    word_no, seq, value, font_no; `wrong` is what repair() gives for words, keyed by doc,
+    page_no, word_no. Null maps and values, and codes that no letter uses, have no row.
+    """
+    word = ["doc", "page_no", "word_no"]
+    own = letters.where("value is not null and font_no is not null and word_no is not null").dropDuplicates(["doc", "page_no", "seq"]).select(*word, "seq", "value", "font_no")
+    found = wrong.select(*word, "restored", F.char_length("text").alias("n_text"))
+    place = F.row_number().over(W.partitionBy(*word).orderBy("seq"))
+    inside = own.join(found, word).withColumn("place", place)
+    # only a restored form of the same length tells characters one by one
+    inside = inside.withColumn("plain", F.when(F.char_length("restored") == F.col("n_text"), F.expr("substring(restored, place, 1)")))
+    bad = inside.where("plain is null or plain <> value").groupBy("doc", "font_no", "value").agg(F.count("*").alias("n_bad"), F.mode("plain").alias("restored"))
+    every = own.where(F.col("value") > "\x7f").groupBy("doc", "font_no", "value").agg(F.count("*").alias("n_letters"))
+    marked = every.join(bad, ["doc", "font_no", "value"]).where("2 * n_bad > n_letters").drop("n_bad")
+    maps = decoders.dropDuplicates(["doc", "font_no"]).select("doc", "font_no", F.explode("code_to_char").alias("code", "value")).where("value is not null")
+    return maps.join(marked, ["doc", "font_no", "value"]).select("doc", "font_no", "code", "value", "restored", "n_letters")

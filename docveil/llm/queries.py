@@ -38,6 +38,10 @@ def p2_repaired(spark, d):
     return _wrong_words(_words(spark, d)).select(*WORD, "text", "restored", "chain", "posterior")
 
 
+def p2_glyphs(spark, d):
+    return mojibake.wrong_glyphs(table(spark, d, "font_decoders"), table(spark, d, "letters"), _wrong_words(_words(spark, d)))
+
+
 def _items(spark, d):
     paragraphs = tables.checkpointed(_repaired_paragraphs(spark, d))
     return paragraphs, personal.items(paragraphs, table(spark, d, "spans"), ["doc", "para_no"])
@@ -108,7 +112,7 @@ def p8_report(spark, d):
     return shared_spans.shared_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_ranges, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p2_glyphs, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_ranges, p8_report)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """
