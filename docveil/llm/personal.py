@@ -29,6 +29,8 @@ from docveil.llm.sentences import REPAIRS, abbreviated, repairs_of, view
 
 #: Labelled paragraphs a language that the model is fitted on; epochs, step size and weight of the penalty.
 SAMPLE, EPOCHS, STEP, PENALTY = 320, 7, 0.25, 1e-4
+#: Longer texts (code points) are not taken into the sample.
+SAMPLE_CHARS = 20_000
 #: Epochs of the models that only complete the finds.
 FEW = 4
 TYPES = ["EMAIL", "PHONE", "ID", "ADDRESS", "NAME"]
@@ -74,7 +76,6 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
         else:
             runs.append([m])
     for run in runs:
-        run = run[:24]
         for i in range(len(run)):
             digits = 0
             for j in range(i, min(len(run), i + 10)):
@@ -155,13 +156,14 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
         # addresses: from a number, a capital, or a word before one; up to a number or a capital
         street = kinds[i] == "x" and i + 1 < n and len(w) <= 10
         if kinds[i] in "9XI" or street:
-            digit, lower = False, 0
+            digit, letter, lower = False, False, 0
             for j in range(i, min(n, i + 20)):
                 k, t = kinds[j], toks[j][2]
                 if k in "9XI":
                     lower = 0
                     digit |= k == "9"
-                    if digit and j > i:
+                    letter |= k != "9"
+                    if digit and letter and j > i:
                         found.add((a, toks[j][1], 3))
                 elif k == "x":
                     lower += 1
@@ -406,7 +408,7 @@ def labelled(paragraphs: DataFrame, finds: DataFrame) -> DataFrame:
     own = own.where(F.col("type").isNotNull() | F.col("label").isNull()).select("doc", "para_no", F.struct("start_pos", "end_pos", "type").alias("f")).distinct()
     own = own.groupBy("doc", "para_no").agg(F.collect_list("f").alias("finds"))
     pick = W.partitionBy("lang").orderBy(F.xxhash64("doc", "para_no"), "doc", "para_no")
-    return paragraphs.join(own, ["doc", "para_no"]).withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= SAMPLE).select("text", "lang", "repairs", "finds")
+    return paragraphs.where(F.char_length("text") <= SAMPLE_CHARS).join(own, ["doc", "para_no"]).withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= SAMPLE).select("text", "lang", "repairs", "finds")
 
 
 def learned(paragraphs: DataFrame, finds: DataFrame) -> dict[str, float]:

@@ -93,7 +93,7 @@ def split(text: str, lang: str) -> list[tuple[int, int]]:
     """Sentence ranges of a plain text, without surrounding white space."""
     cuts: list[int] = []
     ignored: set[int] = set()
-    n = len(text)
+    n, full = len(text), len(text.rstrip())
     at, start = 0, 0
     stack: list[tuple[int, str, int, int]] = []  # position, closing mark, number of cuts and start then
     last_end = -1  # end of the last terminator inside a quotation
@@ -108,9 +108,9 @@ def split(text: str, lang: str) -> list[tuple[int, int]]:
         if found is None:
             if not stack:
                 break
-            # the outermost mark that stays open is no quotation after all
+            # marks that stay open are no quotations after all
             pos, _, n_cuts, start = stack[0]
-            ignored.add(pos)
+            ignored.update(x[0] for x in stack)
             del cuts[n_cuts:]
             stack.clear()
             at = pos + 1
@@ -121,7 +121,7 @@ def split(text: str, lang: str) -> list[tuple[int, int]]:
             if LIST_ITEM.match(text, at) and not stack:
                 cut(at)
         elif mark == top:
-            ends = last_end == i or text[last_end:i].strip() == "" and last_end >= stack[-1][0]
+            ends = last_end >= stack[-1][0] and text[last_end:i].strip() == ""
             opened = stack.pop()[0]
             if not stack and ends and last_end > opened:
                 on = CARRIES_ON.get(lang)
@@ -146,15 +146,15 @@ def split(text: str, lang: str) -> list[tuple[int, int]]:
             if not stack:
                 cut(at)
         elif mark[0] in SOFT:
-            if lang in ("th", "ja", "zh") and mark == "." and text[at:].strip():
+            if lang in ("th", "ja", "zh") and mark == "." and at < full:
                 continue
             while at < n and text[at] in HARD:
                 at += 1
             following = text[at] if at < n else " "
             if following.isspace() or at >= n:
-                if mark == "." and abbreviated(text, i, lang) and at < n and text[at:].strip():
+                if mark == "." and at < full and abbreviated(text, i, lang):
                     continue
-                if mark == "." and TIME_FIRST.match(text[start:i]):
+                if mark == "." and i - start < 60 and TIME_FIRST.match(text[start:i]):
                     continue
                 if not begins(text, at):
                     continue
