@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from docveil.llm.scripts import LATIN_EXTRA
 from docveil.llm.sentences import REPAIRS, abbreviated, repairs_of, view
 
 #: Labelled paragraphs a language that the model is fitted on; epochs, step size and weight of the penalty.
