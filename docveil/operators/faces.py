@@ -8,7 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from docveil.sinks import pdf_writer
 
 # Size of the model's picture, its scaling, and the score above which a box is a face.
 WIDTH, HEIGHT = 320, 240
@@ -49,6 +51,39 @@ def onnx_faces(folder: str) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: session.run(None, {name: x})[0]
 
 
+def from_image_source(images: DataFrame, load: Callable[[], Callable], folder: str) -> DataFrame:
+    """marked() for image files that the engine's own image source can decode, JPEG and PNG among them.
+
+    The contents are written to a new folder that all workers see and read back as pixels.
+    What the source can't decode counts as without a face.
+    """
+    name = F.concat(F.sha2(F.col("doc"), 256), F.lit("-"), F.col("obj_id").cast("string"), F.lit(".img"))
+    rows = images.where("content is not null").select("doc", "obj_id", "content", name.alias("name"))
+    os.makedirs(folder, exist_ok=True)
+    pdf_writer.write_files(rows.select(F.concat(F.lit(folder + "/"), "name").alias("path"), "content"))
+    read = images.sparkSession.read.format("image").option("dropInvalid", "false").load(folder)
+    pixels = read.select(F.regexp_extract("image.origin", "([^/]*)$", 1).alias("name"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+    def run(batches):
+        score = load()
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                try:
+                    if r.height <= 0:
+                        raise ValueError("no image")
+                    bgr = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.channels)
+                    rgb = bgr[:, :, 2::-1] if r.channels >= 3 else np.repeat(bgr, 3, 2)
+                    out.append((r.name, has_face(np.asarray(score(tensor(rgb)))), None))
+                except Exception as e:
+                    out.append((r.name, False, repr(e)))
+            yield pd.DataFrame(out, columns=["name", "has_face", "error"])
+
+    found = pixels.mapInPandas(run, "name string, has_face boolean, error string")
+    every = images.select("doc", "obj_id", name.alias("name")).join(found, "name", "left")
+    return every.select("doc", "obj_id", F.coalesce("has_face", F.lit(False)).alias("has_face"), F.when(F.col("has_face").isNull(), F.lit("no content")).otherwise(F.col("error")).alias("error"))
+
+
 def marked(images: DataFrame, load: Callable[[], Callable], decode: Callable[[bytes], np.ndarray]) -> DataFrame:
     """images (doc, obj_id, content) as doc, obj_id, has_face, error.
 

@@ -6,13 +6,13 @@ entry in ORACLE; they are tested against brute force or goldens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docveil.functions import patterns
 from docveil.functions.text import argmax_last, bio_prefix, bio_tag, confidence, hit, masked_word, output_path, product, stem, trimmed_span
 from docveil.operators import layout, markdown, ner, redaction
 from docveil.plans import pipeline
-from docveil.sources import listing
+from docveil.sources import listing, pdf
 
 PARA = ["doc", "para_no"]
 WORD = ["doc", "page_no", "word_no"]
@@ -212,6 +212,11 @@ def output_paths(spark, d):
     return table(spark, d, "files").where("path is not null").select("path").distinct().select("path", output_path(F.col("path")).alias("output"), stem(F.col("path")).alias("name"))
 
 
+def pdf_letters(spark, d):
+    """Letters, or what is wrong with it, of every listed file; the table holds first bytes only, so every file is found to be cut off."""
+    return pdf.letters(table(spark, d, "files").where("path is not null").select("path", "content").distinct()).select("doc", "page_no", "seq", "value", "error")
+
+
 def decoder_glyphs(spark, d):
     f = table(spark, d, "font_decoders").dropDuplicates(["doc", "font_no"])
     g = f.select("doc", "font_no", "code_to_width", "default_width", F.explode("code_to_char").alias("code", "value"))
@@ -276,7 +281,7 @@ QUERIES = {
     for f in (
         email_spans, phone_spans, date_spans, url_spans, person_spans, all_spans, paragraph_spans, spans_by_lang, masked_documents, masked_orders, word_targets, redaction_targets,
         redaction_counts, covered_ranges, masked_words, first_pass_words, second_pass_words, global_font, greedy_blocks, layout_paragraphs, layout_words, word_ranges, paragraph_texts,
-        paragraph_segmentation, heading_blocks, page_breaks, markdown_export, pending_files, output_paths, decoder_glyphs, decoded_letters, affine_positions, softmax_argmax, bio_split,
+        paragraph_segmentation, heading_blocks, page_breaks, markdown_export, pending_files, output_paths, pdf_letters, decoder_glyphs, decoded_letters, affine_positions, softmax_argmax, bio_split,
         trimmed_spans, merged_spans,
     )
 }

@@ -96,6 +96,25 @@ def test_faces(spark):
     assert {r.obj_id: (r.has_face, r.error is None) for r in got} == {1: (True, True), 2: (False, True), 3: (False, False)}
 
 
+def png(gray: int) -> bytes:
+    """A picture of 4 by 3 pixels of one grey."""
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = b"".join(b"\0" + bytes([gray] * 12) for _ in range(3))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 3, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_faces_from_image_source(spark, tmp_path):
+    rows = [("d", 1, bytearray(png(255))), ("d", 2, bytearray(png(0))), ("d", 3, bytearray(b"junk")), ("e", 1, None)]
+    df = spark.createDataFrame(rows, "doc string, obj_id int, content binary")
+    got = faces.from_image_source(df, lambda: lambda x: np.array([[[0.0, float(x.mean())]]]), str(tmp_path / "images")).collect()
+    assert {(r.doc, r.obj_id): (r.has_face, r.error is None) for r in got} == {("d", 1): (True, True), ("d", 2): (False, True), ("d", 3): (False, False), ("e", 1): (False, False)}
+
+
 def test_listing(spark, tmp_path):
     for name in ("a.pdf", "b.pdf", "b.anon.pdf", "deep/c.pdf", "x.txt"):
         path = tmp_path / name
