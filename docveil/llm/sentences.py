@@ -322,8 +322,9 @@ def sentence_ranges(text: str | None, lang: str | None, heading: bool = False, r
     plain, at = view(text, lang or "", repairs)
     out = []
     ranges = split(plain, lang or "") or [(0, len(plain))]
-    for k, (a, b) in enumerate(ranges):
-        first = 0 if k == 0 else at[a]
+    last = 0
+    for k, (_, b) in enumerate(ranges):
+        first = last  # what the view leaves out belongs to the sentence behind it
         last = len(text) if k == len(ranges) - 1 else at[b]
         piece = text[first:last]
         short = piece.strip()
