@@ -43,6 +43,9 @@ ROW = "doc string, para_no int, text string, lang string, repairs " + REPAIRS
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 MAIL = re.compile(rf"[{LATIN}0-9][{LATIN}0-9._%+\-]*\s?(?:@|\(at\)|\[at\]|\(@\))\s?[{LATIN}0-9\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[{LATIN}0-9\-]+)+", re.I)
 GROUP = re.compile(r"\+?\d+(?:[A-Z](?![a-zà-ÿ]))?|\(\+?\d+\)|[A-ZΑ-ΩА-Я]{1,5}\d[\dA-Z]*|[A-ZΑ-Ω]{1,2}(?![A-Za-zα-ωΑ-Ω])")
+# letters and digits of a code, and what may stand between its parts
+CODE = re.compile(rf"[{LATIN}Α-Ωα-ωА-Яа-яЁё\d]+")
+JOINTS = ("", " ", ".", "-", "/", "–")
 LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u064b-\u0652\u0900-\u0963])"
 WORD = re.compile(rf"{LETTER}+(?:['’\-]{LETTER}+)*|\d+[a-z]?(?![^\W_])|\d+|[^\w\s]|\w")
 HAN = re.compile(r"[々〇一-鿿ぁ-んァ-ヴー]+")
@@ -62,6 +65,28 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
 
 
+def codes(text: str) -> set[tuple[int, int, int]]:
+    """Identity numbers that are mostly or partly letters: 6 or more letters and digits, one digit at least, in up to 10 parts.
+
+    Small letters without a digit are a part only where no blank parts them from the rest.
+    """
+    found: set[tuple[int, int, int]] = set()
+    parts = [(m.start(), m.end(), any(c.isdigit() for c in m[0]), m[0].isupper()) for m in CODE.finditer(text)]
+    for i, (a, *_) in enumerate(parts):
+        size, digit = 0, False
+        for j in range(i, min(len(parts), i + 10)):
+            start, b, number, upper = parts[j]
+            if j > i:
+                _, end, last_number, last_upper = parts[j - 1]
+                gap = text[end:start]
+                if gap not in JOINTS or gap == " " and not ((number or upper) and (last_number or last_upper)):
+                    break
+            size, digit = size + b - start, digit or number
+            if digit and size >= 6:
+                found.add((a, b, 2))
+    return found
+
+
 def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
     """(start, end, type) of every segment that may be an item."""
     found: set[tuple[int, int, int]] = set()
@@ -81,7 +106,9 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
                 digits += sum(c.isdigit() for c in run[j][0])
                 if 6 <= digits <= 19:
                     found.add((run[i].start(), run[j].end(), 1))
+                if digits and sum(c.isalnum() for part in run[i : j + 1] for c in part[0]) >= 6:
                     found.add((run[i].start(), run[j].end(), 2))
+    found.update(codes(text))
     cased = lang not in ("ja", "zh", "th", "hi", "ar")
     if lang in ("ja", "zh"):
         for m in (PLACE_JA if lang == "ja" else PLACE_ZH).finditer(text):

@@ -222,6 +222,24 @@ def test_field_on_held_out_text(spark):
     assert isinstance(P.find("9 " * 3000 + "a@b.example", "en", None, weights), list)
 
 
+@pytest.mark.parametrize("lang,text,want", [
+    ("hi", "पहचान संख्या XQZPK5147Z पत्र", "XQZPK5147Z"),
+    ("ja", "番号はABCDEFG12です", "ABCDEFG12"),
+    ("en", "Passport xk-qzp-41b was read.", "xk-qzp-41b"),
+    ("en", "Codice RSQMRA 85T10 A5S was read.", "RSQMRA 85T10 A5S"),
+])
+def test_ids_of_letters_are_offered(lang, text, want):
+    offered = {(text[a:b], P.TYPES[t]) for a, b, t in P.candidates(text, lang)}
+    assert (want, "ID") in offered
+    assert (want, "PHONE") not in offered or sum(c.isdigit() for c in want) >= 6
+
+
+def test_ids_of_letters_are_learned():
+    start = len("पहचान संख्या ")
+    rows = [(f"पहचान संख्या XQZPK{n}Z पत्र DOS-{n}77 को मिला।", "hi", None, [(start, start + 10, P.TYPES.index("ID"))]) for n in range(1000, 1040)]
+    assert P.find("पहचान संख्या XQZPK5147Z पत्र DOS-330144 को मिला।", "hi", None, P.fit(rows)) == [(start, start + 10, "ID")]
+
+
 def test_best_and_marginals():
     import numpy as np
 
