@@ -30,8 +30,10 @@ from docveil.llm.sentences import REPAIRS, abbreviated, repairs_of, view
 SAMPLE, EPOCHS, STEP, PENALTY = 320, 7, 0.25, 1e-4
 #: Longer texts (code points) are not taken into the sample.
 SAMPLE_CHARS = 20_000
-#: Epochs of the models that only complete the finds.
-FEW = 4
+#: Epochs of the models that only complete the finds, and the folds they are fitted across.
+FEW, FOLDS = 4, 4
+#: Languages written without capitals.
+UNCASED = ("ja", "zh", "th", "hi", "ar")
 TYPES = ["EMAIL", "PHONE", "ID", "ADDRESS", "NAME"]
 # Label names of older finds.
 LABELS = {
@@ -50,8 +52,13 @@ LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u064b-\u0652\u0900-\u0963])"
 WORD = re.compile(rf"{LETTER}+(?:['’\-]{LETTER}+)*|\d+[a-z]?(?![^\W_])|\d+|[^\w\s]|\w")
 HAN = re.compile(r"[々〇一-鿿ぁ-んァ-ヴー]+")
 PARTICLES = {"de", "della", "van", "von", "di", "du", "der", "del", "da", "le", "la", "dos", "den", "zu", "ter", "el", "al", "y"}
-PLACE_ZH = re.compile(r"[一-鿿]{2,16}\d+[号號](?:\d+(?:单元|室|楼|栋|层|号))*")
-PLACE_JA = re.compile(r"(?:〒?\d{3}-?\d{4})?[々一-鿿ぁ-んァ-ヴー]{2,14}\d+(?:丁目|番地|番|号|[-−]\d+|\d+)*")
+# letters of scripts without blanks: words in Latin letters end at them
+UNSPACED = re.compile(r"[々〇㐀-鿿ぁ-ゖァ-ヺー฀-๿]")
+PLACE_ZH = re.compile(r"[一-鿿]{2,40}\d+[号號弄巷栋幢](?:\d+(?:单元|室|楼|栋|层|号))*")
+PLACE_JA = re.compile(r"(?:〒?\d{3}-?\d{4})?[々一-鿿ぁ-んァ-ヴー]{2,40}\d+(?:丁目|番地|番|号|[-−]\d+|\d+)*")
+THAI = re.compile(r"[฀-๏๚-๿]+")
+# where a Thai syllable may begin: a consonant without a vowel written before it, or such a vowel
+THAI_START = re.compile(r"(?<![เแโใไ])[ก-ฮ]|[เแโใไ]")
 
 
 def shape(s: str) -> str:
@@ -87,6 +94,64 @@ def codes(text: str) -> set[tuple[int, int, int]]:
     return found
 
 
+def han(text: str, lang: str) -> set[tuple[int, int, int]]:
+    """Addresses and names in Japanese and Chinese: runs before a house number, and every short stretch that begins with a Han character or is Katakana."""
+    found: set[tuple[int, int, int]] = set()
+    for m in (PLACE_JA if lang == "ja" else PLACE_ZH).finditer(text):
+        span = m[0]
+        firsts = [k for k in range(0, max(1, len(span) - 4)) if not k or not span[k].isdigit() and span[k] != "-"]
+        ends = sorted({len(span), *(e.end() for e in re.finditer(r"号|室|楼|单元|番地|\d+(?=$)", span))})
+        for k in firsts:
+            for e in ends:
+                if e - k >= 5 and any(c.isdigit() for c in span[k:e]):
+                    found.add((m.start() + k, m.start() + e, 3))
+    for m in HAN.finditer(text):
+        run = m[0]
+        for i in range(len(run)):
+            if "一" <= run[i] <= "鿿":
+                for n in range(2, min(7, len(run) - i) + 1):
+                    found.add((m.start() + i, m.start() + i + n, 4))
+    for m in re.finditer(r"[ァ-ヴー]+(?:[・=＝·][ァ-ヴー]+)*|[一-鿿]+(?:[·・][一-鿿]+)+", text):
+        found.add((m.start(), m.end(), 4))
+    return found
+
+
+def thai(text: str) -> set[tuple[int, int, int]]:
+    """Addresses and names in Thai, where no blank parts words: they begin and end where a syllable may, or at the limits of runs and numbers."""
+    found: set[tuple[int, int, int]] = set()
+    for m in re.finditer(r"นางสาว|นาย|นาง|คุณ|โทรหา", text):
+        for n in range(2, 16):
+            e = m.end() + n
+            if e > len(text) or not ("฀" <= text[e - 1] <= "๿"):
+                break
+            found.add((m.end(), e, 4))
+    runs = [(m.start(), m.end(), [x.start() for x in THAI_START.finditer(text, m.start(), m.end())]) for m in THAI.finditer(text)]
+    for k, (a, b, starts) in enumerate(runs):
+        for s in starts:
+            found.update((s, e, 4) for e in (*starts, b) if 2 <= e - s <= 15)
+            if b - s <= 15 and k + 1 < len(runs) and text[b : runs[k + 1][0]] == " ":
+                _, end, more = runs[k + 1]
+                found.update((s, e, 4) for e in (*more, end) if 2 <= e - b - 1 <= 15)
+    # from a number or the run before it, to a number or the run behind it
+    parts = [(m.start(), m.end(), m[0][0].isdigit()) for m in re.finditer(r"\d+(?:[/\-]\d+)*|" + THAI.pattern, text)]
+    inner = {a: starts for a, _, starts in runs}
+    for i, (a, b, number) in enumerate(parts):
+        digit = False
+        for j in range(i, min(len(parts), i + 14)):
+            s, e, last = parts[j]
+            if j > i and text[parts[j - 1][1] : s] not in ("", " ", ",", ", "):
+                break
+            if digit or last:
+                if j > i:
+                    found.add((a, e, 3))
+                    if not number and last:
+                        found.update((x, e, 3) for x in inner[a] if b - x <= 24)
+                    if not last:
+                        found.update((a, x, 3) for x in inner[s] if 2 <= x - s <= 24)
+            digit |= last
+    return found
+
+
 def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
     """(start, end, type) of every segment that may be an item."""
     found: set[tuple[int, int, int]] = set()
@@ -109,64 +174,38 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
                 if digits and sum(c.isalnum() for part in run[i : j + 1] for c in part[0]) >= 6:
                     found.add((run[i].start(), run[j].end(), 2))
     found.update(codes(text))
-    cased = lang not in ("ja", "zh", "th", "hi", "ar")
     if lang in ("ja", "zh"):
-        for m in (PLACE_JA if lang == "ja" else PLACE_ZH).finditer(text):
-            span = m[0]
-            firsts = [0] if lang == "ja" and span[:1] in "〒0123456789" else [k for k in range(0, max(1, len(span) - 4)) if not span[k].isdigit()]
-            ends = sorted({len(span), *(e.end() for e in re.finditer(r"号|室|楼|单元|番地|\d+(?=$)", span))})
-            for k in firsts:
-                for e in ends:
-                    if e - k >= 5 and any(c.isdigit() for c in span[k:e]):
-                        found.add((m.start() + k, m.start() + e, 3))
-        for m in HAN.finditer(text):
-            run = m[0]
-            for i in range(len(run)):
-                if i and not (run[i - 1] in "はをにのがで人為" or run[max(0, i - 3) : i] in ("联系人", "負責人") or i <= 1):
-                    continue
-                for n in range(2, 8):
-                    if i + n > len(run):
-                        break
-                    if "一" <= run[i] <= "鿿":
-                        after = run[i + n : i + n + 2]
-                        if i + n == len(run) or after[:2] in ("さん", "です", "先生", "女士") or after[:1] in ("様", "氏", "君", "が", "は"):
-                            found.add((m.start() + i, m.start() + i + n, 4))
-        return sorted(found)
-    if lang == "th":
-        for m in re.finditer(r"นางสาว|นาย|นาง|คุณ|โทรหา", text):
-            for n in range(2, 16):
-                e = m.end() + n
-                if e > len(text) or not ("฀" <= text[e - 1] <= "๿"):
-                    break
-                found.add((m.end(), e, 4))
-        return sorted(found)
-    toks = tokens(text)
+        found |= han(text, lang)
+    elif lang == "th":
+        found |= thai(text)
+    toks = tokens(UNSPACED.sub("。", text) if lang in ("ja", "zh", "th") else text)
     kinds = []
     for a, _, w in toks:
         kinds.append("9" if w[0].isdigit() else "X" if w[0].isupper() and len(w) > 1 else "I" if w[0].isupper() else "x" if w[0].isalpha() else w)
     n = len(toks)
-    if not cased:  # no capitals to go by: short runs of words
+    if lang in ("hi", "ar"):  # no capitals to go by: short runs of words
         for i in range(n):
             if kinds[i] in "9x":
                 digit = False
-                for j in range(i, min(n, i + 9)):
+                for j in range(i, min(n, i + 20)):
                     if kinds[j] in ("।", ".", "؟", "?", ":", "@", "(", ")"):
                         break
                     digit |= kinds[j] == "9"
                     if kinds[j] in "9x":
                         if digit and j > i:
                             found.add((toks[i][0], toks[j][1], 3))
-                        if 1 <= j - i <= 3 and all(k == "x" for k in kinds[i : j + 1]):
+                        if j - i <= 4 and all(k == "x" for k in kinds[i : j + 1]):
                             found.add((toks[i][0], toks[j][1], 4))
-        return sorted(found)
+    if lang in UNCASED:  # what is written in Latin letters there follows the rules below
+        kinds = ["" if k == "x" and w.lower() == w.upper() else k for k, (_, _, w) in zip(kinds, toks)]
     for i in range(n):
         a, _, w = toks[i]
-        if kinds[i] in "XI" or w.startswith(("O'", "D'", "d'")):
+        if kinds[i] and kinds[i] in "XI" or w.startswith(("O'", "D'", "d'")):
             length = 0
             j = i
             while j < n and length < 6:
                 k, t = kinds[j], toks[j][2]
-                if k in "XI":
+                if k and k in "XI":
                     end = toks[j][1]
                     if k == "I" and j + 1 < n and toks[j + 1][2] == ".":
                         found.add((a, end + 1, 4))
@@ -181,11 +220,11 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
                     break
         # addresses: from a number, a capital, or a word before one; up to a number or a capital
         street = kinds[i] == "x" and i + 1 < n and len(w) <= 10
-        if kinds[i] in "9XI" or street:
+        if kinds[i] and kinds[i] in "9XI" or street:
             digit, letter, lower = False, False, 0
             for j in range(i, min(n, i + 20)):
                 k, t = kinds[j], toks[j][2]
-                if k in "9XI":
+                if k and k in "9XI":
                     lower = 0
                     digit |= k == "9"
                     letter |= k != "9"
@@ -198,7 +237,7 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
                 elif t == ".":
                     if not abbreviated(text, toks[j][0], lang):
                         break
-                elif t not in ",/'’-":
+                elif not k or t not in ",/'’-":
                     break
     return sorted(found)
 
@@ -381,24 +420,24 @@ def trained(examples: list[list], size: int, epochs: int = EPOCHS) -> np.ndarray
 
 
 def complete(examples: list[list], size: int) -> None:
-    """Adds to the finds of each half what a model of the other half finds in it.
+    """Adds to the finds of each fold what a model of the other folds finds in it.
 
     The share of the items that the finds hold is estimated for each type from the other
-    half's probabilities of the finds; it lowers the threshold by as much.
+    folds' probabilities of the finds; it lowers the threshold by as much.
     """
-    halves = examples[::2], examples[1::2]
-    models = [trained(h, size, FEW) for h in halves]
-    for half, w in ((halves[0], models[1]), (halves[1], models[0])):
-        scored = [np.add.reduceat(w[ex[0]], ex[1]) for ex in half]
-        chances = [marginals(x, ex[3]) for x, ex in zip(scored, half)]
+    folds = [examples[k::FOLDS] for k in range(FOLDS)]
+    models = [trained([ex for j, fold in enumerate(folds) if j != k for ex in fold], size, FEW) for k in range(FOLDS)]
+    for fold, w in zip(folds, models):
+        scored = [np.add.reduceat(w[ex[0]], ex[1]) for ex in fold]
+        chances = [marginals(x, ex[3]) for x, ex in zip(scored, fold)]
         shift = np.zeros(len(TYPES))
         for t in range(len(TYPES)):
-            own = [p[(ex[4] > 0) & (ex[5] == t)] for p, ex in zip(chances, half)]
+            own = [p[(ex[4] > 0) & (ex[5] == t)] for p, ex in zip(chances, fold)]
             held = np.concatenate(own) if own else np.zeros(0)
             if len(held):
                 share = float(np.clip(np.mean(held), 0.05, 0.95)) / 2
                 shift[t] = np.log((1 - share) / share)
-        for x, ex in zip(scored, half):
+        for x, ex in zip(scored, fold):
             x = x + shift[ex[5]]
             p = marginals(x, ex[3])
             sure = np.zeros(len(x))

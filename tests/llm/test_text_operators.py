@@ -234,6 +234,25 @@ def test_ids_of_letters_are_offered(lang, text, want):
     assert (want, "PHONE") not in offered or sum(c.isdigit() for c in want) >= 6
 
 
+@pytest.mark.parametrize("lang,text,want,label", [
+    ("ja", "昨日の夜に田中太郎と話した。", "田中太郎", "NAME"),
+    ("ja", "担当はタナカ・タロウと決まった。", "タナカ・タロウ", "NAME"),
+    ("zh", "请联系王芳办理", "王芳", "NAME"),
+    ("zh", "住址是新疆维吾尔自治区乌鲁木齐市天山区青年路街道胜利社区7号。", "新疆维吾尔自治区乌鲁木齐市天山区青年路街道胜利社区7号", "ADDRESS"),
+    ("ja", "Klara Ostmann様です", "Klara Ostmann", "NAME"),
+    ("th", "ที่อยู่ 123/4 ถนนสุขุมวิท แขวงคลองเตย กรุงเทพ 10110", "123/4 ถนนสุขุมวิท แขวงคลองเตย กรุงเทพ 10110", "ADDRESS"),
+    ("th", "วันนี้สมชายส่งแบบฟอร์ม", "สมชาย", "NAME"),
+    ("th", "นายสมชาย ใจดีส่งแบบฟอร์ม", "สมชาย ใจดี", "NAME"),
+    ("th", "ส่งถึง Klara Ostmann, 12 Tannery Row", "Klara Ostmann", "NAME"),
+    ("th", "ส่งถึง 12 Tannery Row, Port Kaldos", "12 Tannery Row, Port Kaldos", "ADDRESS"),
+    ("hi", "पता 154 पुराना कुम्हार मार्ग, नया बाज़ार, तोरवल नगर, ज़िला वेलमा 000319 है", "154 पुराना कुम्हार मार्ग, नया बाज़ार, तोरवल नगर, ज़िला वेलमा 000319", "ADDRESS"),
+    ("hi", "पत्र Klara Ostmann को मिला", "Klara Ostmann", "NAME"),
+    ("ar", "الرسالة إلى Klara Ostmann اليوم", "Klara Ostmann", "NAME"),
+])
+def test_candidates_without_capitals(lang, text, want, label):
+    assert (want, label) in {(text[a:b], P.TYPES[t]) for a, b, t in P.candidates(text, lang)}
+
+
 def test_ids_of_letters_are_learned():
     start = len("पहचान संख्या ")
     rows = [(f"पहचान संख्या XQZPK{n}Z पत्र DOS-{n}77 को मिला।", "hi", None, [(start, start + 10, P.TYPES.index("ID"))]) for n in range(1000, 1040)]
