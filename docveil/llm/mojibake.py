@@ -4,7 +4,7 @@ Every distinct (source, text) of a field gets the readings that undo a chain "wr
 read as B", each with its log likelihood in the language's character model. Expectation-
 maximization treats the chain as latent: the E step gives each word's posterior over chains,
 the M step the share of each chain in the language and in the record's source (its
-document), so that weak evidence of many words adds up. A word is repaired by the best
+document), so that weak evidence of many words adds up; both are iterated. A word is repaired by the best
 posterior. A replacement character is always a wrong one; its word counts as found and is
 not restored. The same operator serves any field that has a source and a language.
 """
@@ -36,6 +36,8 @@ LOSSY = "lossy"
 ALIKE = -3.0
 #: Prior share of wrong words before anything is known, the weight of the language's shares in a source, and rounds of EM.
 PRIOR, POOL, ROUNDS = 0.02, 1.0, 4
+#: EM of the sources ends when no chain's expected count in any source moves by more than this, or after so many rounds.
+SETTLED, SOURCE_ROUNDS = 0.01, 12
 
 
 @lru_cache(None)
@@ -203,8 +205,11 @@ def posteriors(types: DataFrame, shares: dict[tuple[str, str], float], prior: Da
     return rows.withColumn("p", F.col("odds") / (F.sum("odds").over(own) + right))
 
 
-def learn(types: DataFrame, totals: DataFrame) -> tuple[dict, DataFrame]:
-    """Shares of chains by language (small: languages times chains), and expected counts by source."""
+def learn(types: DataFrame, totals: DataFrame, checkpoint=None) -> tuple[dict, DataFrame]:
+    """Shares of chains by language (small: languages times chains), and expected counts by source.
+
+    The language's shares are settled first; then E and M steps by source go on from them.
+    """
     sizes = {r["lang"] or "": r["n"] for r in totals.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     shares: dict[tuple[str, str], float] = {}
     pairs = types.select("lang", F.explode("chains").alias("chain")).distinct().collect()
@@ -215,9 +220,18 @@ def learn(types: DataFrame, totals: DataFrame) -> tuple[dict, DataFrame]:
     for _ in range(ROUNDS):
         got = posteriors(types, shares, None).groupBy("lang", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("n")).collect()
         shares = {(r["lang"] or "", r["chain"]): (r["n"] + 0.05) / (sizes.get(r["lang"] or "", 0) + 100) for r in got}
-    mass = posteriors(types, shares, None).groupBy("source", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("chain_n")).where("chain_n > 0.01")
     all_n = totals.groupBy("source").agg(F.sum("n").cast("double").alias("source_n"))
-    return shares, mass.join(all_n, "source")
+    prior = None
+    for _ in range(SOURCE_ROUNDS):
+        mass = posteriors(types, shares, prior).groupBy("source", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("chain_n")).join(all_n, "source")
+        if checkpoint:
+            mass = checkpoint(mass)
+        before = mass.withColumn("last_n", F.lit(0.0)) if prior is None else mass.join(prior.select("source", "chain", F.col("chain_n").alias("last_n")), ["source", "chain"], "left")
+        moved = before.agg(F.max(F.abs(F.col("chain_n") - F.coalesce("last_n", F.lit(0.0)))).alias("n")).first()["n"]
+        prior = mass
+        if (moved or 0.0) <= SETTLED:
+            break
+    return shares, prior
 
 
 def repair(cells: DataFrame, keys: list[str], checkpoint=None) -> DataFrame:
@@ -236,9 +250,7 @@ def repair(cells: DataFrame, keys: list[str], checkpoint=None) -> DataFrame:
     types = scored(words.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("source", "lang", "text", "n"), model)
     if checkpoint:
         types = checkpoint(types)
-    shares, prior = learn(types, words.select("source", "lang", "n"))
-    if checkpoint:
-        prior = checkpoint(prior)
+    shares, prior = learn(types, words.select("source", "lang", "n"), checkpoint)
     best = posteriors(types, shares, prior).groupBy("source", "lang", "text").agg(F.sum("p").alias("p"), F.max_by(F.struct("chain", "reading"), F.struct("p", "chain")).alias("b"))
     best = best.where("p > 0.5").select("source", "lang", "text", F.col("b.reading").alias("restored"), F.col("b.chain").alias("chain"), F.col("p").alias("posterior"))
     lost = types.where(F.col("text").contains("�")).select("source", "lang", "text", F.lit(None).cast("string").alias("restored"), F.lit(LOSSY).alias("chain"), F.lit(1.0).alias("posterior"))

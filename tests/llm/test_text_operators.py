@@ -126,6 +126,17 @@ def test_repair(spark):
     assert sum(got[k].restored == truth[k] for k in got) >= 0.95 * len(got)
 
 
+def test_rare_chain_of_one_source(spark):
+    """Weak evidence of many words adds up in a document, though the language hardly knows the chain."""
+    kind = "source string, lang string, text string, n long, base double, chains array<string>, texts array<string>, scores array<double>"
+    rows = [("odd", "fr", f"w{k}", 1, -3.0, ["a>b"], [f"r{k}"], [0.0]) for k in range(30)] + [(f"d{k}", "fr", "v", 1, -0.5, ["a>b"], ["u"], [0.0]) for k in range(40)]
+    types = spark.createDataFrame(rows, kind)
+    totals = spark.createDataFrame([("odd", "fr", 40), *((f"d{k}", "fr", 100) for k in range(40))], "source string, lang string, n long")
+    shares, prior = J.learn(types, totals, tables.checkpointed)
+    got = J.posteriors(types, shares, prior).select("source", "p").collect()
+    assert all((r.p > 0.5) == (r.source == "odd") for r in got)
+
+
 def test_repair_of_nothing(spark):
     df = spark.createDataFrame([], "source string, no int, text string, lang string")
     assert J.repair(df, ["source", "no"], tables.checkpointed).count() == 0
