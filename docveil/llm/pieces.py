@@ -9,7 +9,8 @@ arrays. No Python runs and the only shuffle is the removal of duplicate rows.
 
 Sizes are in units: `words` are stretches between U+0020, `chars` are code points. A null
 detector, or one that is not listed, means the default detector. Null texts have no
-pieces, empty and blank ones one empty piece. An overlap is cut to max_seq_len - 1, so
+pieces, empty ones one empty piece, nor have blank ones more in words; in chars, blanks
+are cut as any characters are. An overlap is cut to max_seq_len - 1, so
 that every piece gets on.
 """
 
@@ -83,7 +84,9 @@ def cut(df: DataFrame, detectors: DataFrame, text_col: str = "text", detector_co
     held = [F.coalesce(c, f"d{c}").alias(c) for c in lim.columns if c != "lim_detector_id"]
     joined = joined.select(*df.columns, *held)
     found = F.regexp_extract_all(text_col, F.col("lim_cutter"), F.lit(0))
-    cuts = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("lim_size").isNull() | (F.trim(text_col) == ""), F.array(text_col)).otherwise(found)
+    # blanks hold no words, but each is a character
+    blank = (F.trim(text_col) == "") & ((F.col("lim_unit") == "words") | (F.char_length(text_col) <= F.col("lim_size")))
+    cuts = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("lim_size").isNull() | blank, F.array(text_col)).otherwise(found)
     return joined.withColumn("cuts", cuts)
 
 

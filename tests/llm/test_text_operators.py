@@ -54,6 +54,16 @@ def test_natural_breaks_and_edges(spark):
     assert got[5][-1][1] == 50_000 and got[6][-1][1] == 79_999
 
 
+def test_blank_texts_above_the_limit(spark):
+    got = cut(spark, [(" " * 45, "c"), (" " * 20, "c"), (" " * 45, "w")])
+    assert len(got[0]) > 1 and got[0][-1][1] == 45 and all(n <= 20 for _, _, n, _ in got[0])
+    assert all(got[0][k][1] - got[0][k + 1][0] == 5 for k in range(len(got[0]) - 1))
+    assert len(got[1]) == len(got[2]) == 1
+    det = spark.createDataFrame(DETECTORS, "detector_id string, max_seq_len int, overlap int, unit string, is_default boolean")
+    df = spark.createDataFrame([("a", " " * 45, "c", 1), ("b", " " * 20, "c", 1), ("c", " " * 45, "w", 1), ("d", "", "c", 1)], "doc string, text string, detector_id string, loaded_at int")
+    assert [r.doc for r in X.oversized(df, det, ["doc"]).collect()] == ["a"]
+
+
 def test_oversized_takes_the_last_row(spark):
     det = spark.createDataFrame(DETECTORS, "detector_id string, max_seq_len int, overlap int, unit string, is_default boolean")
     df = spark.createDataFrame([("a", 1, "x " * 9, "w", 1), ("a", 1, "x", "w", 2), ("b", 1, "x " * 9, "w", 1), ("b", 1, "x " * 9, "w", 1), ("c", 1, "x " * 8, "w", 1)], "doc string, para_no int, text string, detector_id string, loaded_at int")
