@@ -1,19 +1,22 @@
 """Patterns of the deterministic detectors, and spans of a pattern without a UDF.
 
 Java patterns are Unicode-aware through (?U) and break lines at \\n only through (?d).
-No pattern repeats a group without a bound: such a repetition recurses in the regular
-expression engine, and its stack overflow would end the whole executor.
+Repeated groups are possessive: those are looped over, while others recurse in the regular
+expression engine, whose stack overflow would end the whole executor. A group that ends
+at a word boundary can be possessive without a change of what is found.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from docveil.functions.arrays import let, running
+
 # Capitals, small letters and blanks of names; the five patterns.
 UPPER, LOWER, BLANK = "A-ZÀ-ÖØ-Ý", "a-zà-öø-ÿ", r" \t\x{00A0}\x{202F}"
 PERSON = (
     rf"(?m)^(?:#+\s*)?[{UPPER}][{LOWER}]+(?:[-'][{UPPER}][{LOWER}]+)?[{BLANK}]+"
-    rf"(?:[{UPPER}]{{3,}}(?:[-'’][{UPPER}]{{2,}}){{0,200}}|(?:[{UPPER}][{BLANK}]+){{2,200}}[{UPPER}])\b"
+    rf"(?:[{UPPER}]{{3,}}\b(?:[-'’][{UPPER}]{{2,}}\b)*+|[{UPPER}](?:[{BLANK}]++[{UPPER}]\b){{2,}}+)"
 )
 #: Without regard to case, these two also stand for a letter (long s, Kelvin sign); naming them is faster than the flag.
 FOLDED = r"\x{017F}\x{212A}"
@@ -29,52 +32,73 @@ DETECTORS = {"NOM_PERSONNE": PERSON, "EMAIL": EMAIL, "PHONE": PHONE, "DATE": DAT
 #: What a text must contain at least for a match; saves the costlier search.
 HINTS = {"EMAIL": "@", "URL": "."}
 
-SPAN = "struct<start_pos:int,end_pos:int,label:string,engine:string>"
-
 
 def java(pattern: str) -> str:
     return "(?U)(?d)" + pattern
 
 
-def spans_of(text: Column, label: str, pattern: str) -> Column:
-    """Array of spans (start_pos, end_pos in code points, label, engine) of all matches; null for null text.
+def _length(x: Column) -> Column:
+    return F.char_length(F.coalesce(x, F.lit("")))
+
+
+def _blanks(x: Column) -> Column:
+    return _length(x) - _length(F.replace(x, F.lit(" "), F.lit("")))
+
 
-    Matches and the gaps between them give positions by running sums. The pattern must not
-    match the empty string.
+FOUND = "array<struct<start_pos:int,end_pos:int,label:string,word:int,last_word:int>>"
+
+
+def matches_of(text: Column, label: str, pattern: str) -> Column:
+    """Array of all matches (start_pos, end_pos in code points, label, word, last_word); null for null text.
+
+    Matches and the gaps between them give positions by running sums, and those of blanks
+    the numbers (from 0) of the first and last word, words being cut at U+0020. The pattern
+    must not match the empty string. What a name begins with, number signs and white space,
+    is left out.
     """
-    p = F.lit(java(pattern))
-    matches = F.regexp_extract_all(text, p, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
     pairs = F.arrays_zip(matches.alias("m"), F.split(text, java(pattern), -1).alias("g"))  # the last gap has no match
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["g"])
-        end = begin + F.char_length(x["m"])
-        span = F.struct(begin.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.lit(label).alias("label"), F.lit("regex").alias("engine"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda x: _length(x["m"]) + _length(x["g"])))
+        words = running(F.transform(pairs, lambda x: _blanks(x["m"]) + _blanks(x["g"])))
+
+        def one(x: Column) -> Column:
+            lead = F.regexp_extract(x["pairs"]["m"], r"(?U)^[#\s]*", 0) if label == "NOM_PERSONNE" else F.lit("")
+            start = x["ends"] + _length(x["pairs"]["g"])
+            word = x["words"] + _blanks(x["pairs"]["g"])
+            return F.struct(
+                (start + _length(lead)).cast("int").alias("start_pos"), (start + _length(x["pairs"]["m"])).cast("int").alias("end_pos"), F.lit(label).alias("label"),
+                (word + _blanks(lead)).cast("int").alias("word"), (word + _blanks(x["pairs"]["m"])).cast("int").alias("last_word"),
+            )
 
-    found = F.aggregate(pairs, start, step, lambda a: a["out"])
+        every = F.filter(F.arrays_zip(pairs.alias("pairs"), ends.alias("ends"), words.alias("words")), lambda x: x["pairs"]["m"].isNotNull())
+        return F.filter(F.transform(every, one), lambda s: s["start_pos"] < s["end_pos"])
+
+    empty = F.array().cast(FOUND)
+    found = let(pairs, lambda x: F.when(F.size(x) > 1, placed(x)).otherwise(empty))
     hint = HINTS.get(label)
-    empty = F.array().cast(f"array<{SPAN}>")
-    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit(hint)), found).otherwise(empty) if hint else found
+    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit(hint)), found).otherwise(empty) if hint else F.when(text.isNotNull(), found)
+
 
+def all_matches(text: Column) -> Column:
+    """matches_of() of all five patterns ordered by start, then by pattern; overlaps stay. None for blank text, null for null."""
+    parts = [matches_of(text, k, p) for k, p in DETECTORS.items()]
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(DETECTORS) for x in (k, i)])
+    keyed = F.transform(F.concat(*parts), lambda s: F.struct(s["start_pos"].alias("a"), rank[s["label"]].alias("b"), s["end_pos"].alias("c"), s.alias("s")))
+    ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
+    return F.when(text.isNull(), F.lit(None)).when(F.regexp_like(text, F.lit(r"(?U)^\s*$")), F.array().cast(FOUND)).otherwise(ordered)
 
-def person_spans(text: Column) -> Column:
-    """Spans of full names at line starts, without leading number signs and white space."""
-    found = spans_of(text, "NOM_PERSONNE", PERSON)
 
-    def trimmed(s: Column) -> Column:
-        own = F.substring(text, s["start_pos"] + 1, s["end_pos"] - s["start_pos"])
-        lead = F.char_length(F.regexp_extract(own, r"(?U)^[#\s]*", 0))
-        return F.struct((s["start_pos"] + lead).cast("int").alias("start_pos"), s["end_pos"].alias("end_pos"), s["label"].alias("label"), s["engine"].alias("engine"))
+def _spans(matches: Column) -> Column:
+    return F.transform(matches, lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), s["label"].alias("label"), F.lit("regex").alias("engine")))
 
-    return F.filter(F.transform(found, trimmed), lambda s: s["start_pos"] < s["end_pos"])
+
+def spans_of(text: Column, label: str) -> Column:
+    """Array of spans (start_pos, end_pos, label, engine) of one detector; null for null text."""
+    return _spans(matches_of(text, label, DETECTORS[label]))
 
 
 def all_spans(text: Column) -> Column:
-    """Spans of all five patterns ordered by start, then by pattern; overlaps stay. None for blank text, null for null."""
-    parts = [person_spans(text) if k == "NOM_PERSONNE" else spans_of(text, k, p) for k, p in DETECTORS.items()]
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(DETECTORS) for x in (k, i)])
-    keyed = F.transform(F.concat(*parts), lambda s: F.struct(s["start_pos"].alias("a"), rank[s["label"]].alias("b"), s["end_pos"].alias("c"), s.alias("s")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
-    return F.when(text.isNull(), F.lit(None)).when(F.regexp_like(text, F.lit(r"(?U)^\s*$")), F.array().cast(f"array<{SPAN}>")).otherwise(ordered)
+    """Spans of all five detectors ordered by start, then by detector; overlaps stay. None for blank text, null for null."""
+    return _spans(all_matches(text))

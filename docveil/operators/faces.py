@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from docveil.plans.lineage import shared_folder
 from docveil.sinks import pdf_writer
 
 # Size of the model's picture, its scaling, and the score above which a box is a face.
@@ -51,15 +53,16 @@ def onnx_faces(folder: str) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: session.run(None, {name: x})[0]
 
 
-def from_image_source(images: DataFrame, load: Callable[[], Callable], folder: str) -> DataFrame:
+def from_image_source(images: DataFrame, load: Callable[[], Callable], folder: str | None = None) -> DataFrame:
     """marked() for image files that the engine's own image source can decode, JPEG and PNG among them.
 
-    The contents are written to a new folder that all workers see and read back as pixels.
+    The contents are written to a new folder below the shared one and read back as pixels.
     What the source can't decode counts as without a face.
     """
+    folder = folder or f"{shared_folder(images.sparkSession)}/faces-{uuid.uuid4().hex}"
     name = F.concat(F.sha2(F.col("doc"), 256), F.lit("-"), F.col("obj_id").cast("string"), F.lit(".img"))
     rows = images.where("content is not null").select("doc", "obj_id", "content", name.alias("name"))
-    os.makedirs(folder, exist_ok=True)
+    os.makedirs(folder.removeprefix("file://").removeprefix("file:"), exist_ok=True)
     pdf_writer.write_files(rows.select(F.concat(F.lit(folder + "/"), "name").alias("path"), "content"))
     read = images.sparkSession.read.format("image").option("dropInvalid", "false").load(folder)
     pixels = read.select(F.regexp_extract("image.origin", "([^/]*)$", 1).alias("name"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")

@@ -80,8 +80,7 @@ def spans_sql(source: str, key: str, pattern: str, flags: str = "", lead: str =
 
 
 def _spans(df: DataFrame, key: str, label: str) -> DataFrame:
-    found = patterns.person_spans(F.col("text")) if label == "NOM_PERSONNE" else patterns.spans_of(F.col("text"), label, patterns.DETECTORS[label])
-    return df.select(key, F.explode(found).alias("s")).select(key, "s.start_pos", "s.end_pos")
+    return df.select(key, F.explode(patterns.spans_of(F.col("text"), label)).alias("s")).select(key, "s.start_pos", "s.end_pos")
 
 
 def email_spans(spark, d):

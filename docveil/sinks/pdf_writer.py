@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from docveil.plans.lineage import checkpointed
 from docveil.sources.pdf import operations
 from docveil.sources.pdf_objects import Document, Keyword, Name, Ref, Stream, save, written
 
@@ -114,26 +115,43 @@ def redacted(files: DataFrame, targets: DataFrame, faces: DataFrame | None = Non
     return rows.mapInArrow(run, OUT)
 
 
-def write_files(rows: DataFrame, path_col: str = "path", content_col: str = "content") -> int:
-    """Writes binary or text content to the paths of the rows, each by a temporary name first; gives the number written.
+def write_files(rows: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """Writes binary or text content to the paths of the rows, each by a temporary name first. Gives path and error, null where the file was written.
 
     Tasks write where their worker sees the path: a shared file system on a cluster. A
-    task that runs twice writes the same bytes. Rows without content are left out.
+    task that runs twice writes the same bytes. A row without content isn't written and
+    hands on its own `error`. The state of every file is kept in the shared folder, so that
+    nothing is written again when it is read.
     """
+    message = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
 
     def run(batches):
         for batch in batches:
-            n = 0
-            for path, content in batch.itertuples(index=False):
-                if path is None or content is None:
+            out = []
+            for path, content, error in batch.itertuples(index=False):
+                if path is None:
+                    continue
+                if content is None:
+                    out.append((path, error or "no content"))
                     continue
-                path = path.removeprefix("file://").removeprefix("file:")
-                raw = content.encode("utf-8") if isinstance(content, str) else bytes(content)
-                part = f"{path}.{os.getpid()}.part"
-                with open(part, "wb") as f:
-                    f.write(raw)
-                os.replace(part, path)
-                n += 1
-            yield pd.DataFrame({"n": [n]})
-
-    return int(rows.select(path_col, content_col).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0)
+                place = path.removeprefix("file://").removeprefix("file:")
+                part = f"{place}.{os.getpid()}.part"
+                try:
+                    with open(part, "wb") as f:
+                        f.write(content.encode("utf-8") if isinstance(content, str) else bytes(content))
+                    os.replace(part, place)
+                    out.append((path, None))
+                except OSError as e:
+                    out.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "error"])
+
+    return checkpointed(rows.select(path_col, content_col, message.alias("error")).mapInPandas(run, "path string, error string"))
+
+
+def failures(state: DataFrame, stage: str) -> DataFrame:
+    """doc (the path that couldn't be written), stage and error."""
+    return state.where("error is not null").select(F.col("path").alias("doc"), F.lit(stage).alias("stage"), "error")
+
+
+def written_files(state: DataFrame) -> int:
+    return state.where("error is null").count()

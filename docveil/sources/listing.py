@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docveil.functions.text import output_path
@@ -13,21 +16,52 @@ OUTPUT = ".anon.pdf"
 MODEL_FILES = ["model.onnx", "tokenizer.json", "config.json"]
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, modificationTime, length, content of the PDF files below folders, at any depth, and of named files of any extension."""
-    folders = [p for p in paths if os.path.isdir(p)]
-    files = [p for p in paths if not os.path.isdir(p)]
-    parts = []
+FILE = "path string, modificationTime timestamp, length long"
+
+
+def outermost(paths: list[str]) -> tuple[list[str], list[str]]:
+    """(folders, files) of the given paths, without those that lie in another folder or come twice, so that nothing is listed twice."""
+    every = list(dict.fromkeys(os.path.realpath(p) for p in paths))
+    folders = [p for p in every if os.path.isdir(p)]
+    inside = lambda p: any(p != f and os.path.commonpath([p, f]) == f for f in folders)
+    return [f for f in folders if not inside(f)], [p for p in every if p not in folders and not (p.endswith(".pdf") and inside(p))]
+
+
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """FILE of the PDF files below folders, at any depth, and of named files of any extension; no content is read."""
+    folders, files = outermost(paths)
+    out = spark.createDataFrame([], FILE)
     if folders:
-        parts.append(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folders))
+        out = out.unionByName(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folders).drop("content"))
     if files:
-        parts.append(spark.read.format("binaryFile").load(files))
-    if not parts:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["path"])
+        out = out.unionByName(spark.read.format("binaryFile").load(files).drop("content"))
+    return out
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """path and content of listed files (path, length), dealt by size so that a task reads about as much as a task of a file scan.
+
+    Contents are read in the tasks, after everything that needs paths alone; they are never
+    shuffled. A file that can't be opened has null content.
+    """
+    spark = files.sparkSession
+    size = files.agg(F.sum("length"), F.count("*")).first()
+    # the setting comes as a number of bytes with "b" behind it, or with a unit
+    target = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(1, min(size[1], max(spark.sparkContext.defaultParallelism, -(-int(size[0] or 0) // target))))
+
+    def read(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    fs, place = FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+                    with fs.open_input_stream(place) as f:
+                        content = f.read()
+                except (OSError, pa.ArrowException):
+                    content = None
+                yield pd.DataFrame({"path": [path], "content": [content]})
+
+    return files.select("path").repartition(tasks).mapInPandas(read, "path string, content binary")
 
 
 def pending(files: DataFrame, listed: DataFrame | None = None, path_col: str = "path") -> DataFrame:

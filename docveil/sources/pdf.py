@@ -2,7 +2,8 @@
 
 A content stream is a program whose every operator depends on the ones before, so each
 file is interpreted by one Python call, in Arrow batches; files are independent and spread
-over the cluster. A file that can't be read gives one row with a message and no letters.
+over the cluster. A file that can't be read gives one row with a message and no letters,
+and so does one without any letter.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def document_letters(data: bytes) -> list[dict]:
 
 
 def letters(files: DataFrame, doc_col: str = "path", content_col: str = "content") -> DataFrame:
-    """LETTERS of every file; one row with `error` and nulls for a file that can't be read (null content among them)."""
+    """LETTERS of every file; one row with `error` and nulls for a file that can't be read (null content among them) or shows no letter."""
 
     def run(batches):
         for batch in batches:
@@ -188,10 +189,11 @@ def letters(files: DataFrame, doc_col: str = "path", content_col: str = "content
                     if content is None:
                         raise PdfError("no content")
                     rows = [{"doc": doc, "error": None, **x} for x in document_letters(content)]
+                    if not rows:
+                        raise PdfError("no letters")
                 except Exception as e:  # one bad file must not end the job
                     rows = [{"doc": doc, "error": f"{type(e).__name__}: {e}"}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=LETTERS_ARROW)
+                yield pa.RecordBatch.from_pylist(rows, schema=LETTERS_ARROW)
 
     return files.select(doc_col, content_col).mapInArrow(run, LETTERS)
 

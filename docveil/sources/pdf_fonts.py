@@ -105,7 +105,8 @@ class TrueType:
             elif kind == 12:
                 for k in range(struct.unpack(">I", c[at + 12 : at + 16])[0]):
                     a, b, g = struct.unpack(">III", c[at + 16 + 12 * k : at + 28 + 12 * k])
-                    for code in range(a, min(b, a + 0xFFFF) + 1):
+                    # codes beyond Unicode and glyphs that the font doesn't have show nothing
+                    for code in range(a, min(b, 0x10FFFF, a + self.n_glyphs - 1 - g) + 1):
                         out.setdefault(code, g + code - a)
         return out
 
@@ -133,9 +134,10 @@ def to_unicode(data: bytes) -> dict[int, str]:
                     continue
                 first, last = int(words[0], 16), int(words[needed - 2], 16)
                 target = int(words[needed - 1][:4], 16)
-                for code in range(first, min(last, first + 0xFFFF) + 1) if needed == 3 else (first,):
+                # a code has two bytes at most, and a target beyond Unicode is no character
+                for code in range(first, min(last, 0xFFFF, first + 0x10FFFF - target) + 1) if needed == 3 else (first,):
                     c = target + code - first
-                    if c < 0x110000 and not 0xD800 <= c < 0xE000:
+                    if not 0xD800 <= c < 0xE000:
                         out[code] = chr(c)
     return out
 

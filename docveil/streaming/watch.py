@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from docveil.sources import listing
 
 #: Files taken at once, and the delay between looks at the folder.
 FILES_AT_ONCE, EVERY = 4, "200 milliseconds"
+log = logging.getLogger("docveil")
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -29,10 +31,10 @@ def start(spark: SparkSession, folder: str | None, checkpoint: str, ner=None, fa
     should be moved into the folder when they are whole.
     """
     if not folder or not os.path.isdir(folder):
-        print(f"warning: no folder to watch: {folder}")
+        log.warning("no folder to watch: %s", folder)
         return None
     handle = handle or (lambda todo: pipeline.write(todo, ner, faces))
-    handle(listing.pending(listing.read_files(spark, [folder])).select("path", "content"))
+    handle(listing.with_content(listing.pending(listing.listed(spark, [folder]))))
 
     def batch(df: DataFrame, _: int) -> None:
         outputs = spark.read.format("binaryFile").option("pathGlobFilter", "*" + listing.OUTPUT).load(folder).select("path")

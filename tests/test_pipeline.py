@@ -1,7 +1,10 @@
 import os
 
 from docveil.plans import pipeline
-from docveil.sources import pdf
+from pyspark.sql import functions as F
+
+from docveil.sinks import pdf_writer
+from docveil.sources import listing, pdf
 from docveil.sources.pdf_objects import Document
 from docveil.streaming import watch
 from tests import pdfs
@@ -27,7 +30,11 @@ def test_run_writes_both_outputs(spark, tmp_path):
     put(deep, "bad.pdf", b"junk")
     put(deep, "done.pdf", pdfs.pages(PAGE))
     put(deep, "done.anon.pdf", b"junk")
-    assert pipeline.run(spark, [str(tmp_path / "in")]) == {"markdown": 2 - 1, "pdf": 1, "errors": 1}
+    # the second page can't be interpreted, and a file without letters: nothing is written for either
+    put(deep, "half.pdf", pdfs.pages(pdfs.text("mail a.b@c.org"), b"BT /F1 10 Tf 5 Td (x) Tj ET"))
+    put(deep, "blank.pdf", pdfs.pages(b"0 0 10 10 re f"))
+    assert pipeline.run(spark, [str(tmp_path / "in"), str(deep), str(deep / "a.pdf")]) == {"markdown": 1, "pdf": 1, "errors": 3}
+    assert sorted(p.name for p in deep.glob("*.anon.*")) == ["a.anon.md", "a.anon.pdf", "done.anon.pdf"]
     out = (deep / "a.anon.pdf").read_bytes()
     assert b"x@y.com" not in b"".join(Document(out).content(p) for _, p in Document(out).pages())
     assert "suite du texte." in text_of(out) and "x@y.com" not in text_of(out) and "01/02/2024" not in text_of(out)
@@ -40,6 +47,36 @@ def test_run_writes_both_outputs(spark, tmp_path):
     assert pipeline.run(spark, [str(tmp_path / "in")])["pdf"] == 0
 
 
+def test_errors_of_every_stage(spark, tmp_path, monkeypatch):
+    from docveil.operators import ner
+
+    put(tmp_path, "a.pdf", pdfs.pages(PAGE))
+    put(tmp_path, "b.pdf", b"junk")
+
+    def no_model():
+        def score(ids, mask):
+            raise RuntimeError("no model")
+
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0}, unk_token="[UNK]"))
+        tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+        return score, tokenizer, ["O"]
+
+    def faces(files):
+        return files.select(F.col("path").alias("doc"), F.lit(1).alias("obj_id"), F.lit(False).alias("has_face"), F.when(F.col("path").endswith("a.pdf"), "no picture").alias("error"))
+
+    todo = listing.with_content(listing.listed(spark, [str(tmp_path)]))
+    out = pipeline.redact_files(todo, lambda p: ner.ner_spans(p, ["doc", "para_no"], no_model), faces)
+    got = {(r.doc.rsplit("/", 1)[1], r.stage) for r in out["errors"].collect()}
+    assert got == {("a.pdf", "ner"), ("b.pdf", "read"), ("a.pdf", "faces")}
+    assert [r.doc.rsplit("/", 1)[1] for r in out["pdf"].where("content is not null").collect()] == ["a.pdf"]
+    # a folder that isn't there can't be written to
+    state = pdf_writer.write_files(spark.createDataFrame([(str(tmp_path / "none" / "x.pdf"), bytearray(b"x"), None), ("y.pdf", None, "broken")], "path string, content binary, error string"))
+    assert {r.doc.rsplit("/", 1)[-1]: r.error.split(":")[0] for r in pdf_writer.failures(state, "pdf").collect()} == {"x.pdf": "FileNotFoundError", "y.pdf": "broken"}
+    assert pdf_writer.written_files(state) == 0
+
+
 def test_watched_folder(spark, tmp_path):
     folder = tmp_path / "in"
     put(folder, "first.pdf", pdfs.pages(PAGE))
