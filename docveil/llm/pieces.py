@@ -1,11 +1,13 @@
 """Pieces of bounded size of texts that are too large, cut at natural boundaries.
 
-One bounded-quantifier pattern per detector does the cutting inside the engine's regular
-expressions: its alternatives are ordered by the strength of the boundary (end of text,
-sentence end, clause end, blank, any character), each consumes as much as fits. A piece
-repeats the last `overlap` units of what stands before it; that lookback is a bounded
-pattern on the reversed text of the preceding cuts. Positions are running sums over
-arrays. No Python runs and the only shuffle is the removal of duplicate rows.
+A text is first written as a string of classes, one ASCII sign for each of its units: how
+strong the boundary behind the unit is. One bounded-quantifier pattern per detector cuts
+that string inside the engine's regular expressions; its alternatives are ordered by the
+strength of the boundary (end of text, sentence end, clause end, blank, any unit), each
+consumes as much as fits. All repetitions are of single signs of one width, so that the
+expression engine loops over them and its stack doesn't grow with the limit. A piece
+begins `overlap` units before its cut: the lookback is an offset. Positions are running
+sums over arrays; pieces come out of one row by one generator, without a shuffle.
 
 Sizes are in units: `words` are stretches between U+0020, `chars` are code points. A null
 detector, or one that is not listed, means the default detector. Null texts have no
@@ -16,12 +18,22 @@ that every piece gets on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from docveil.functions.arrays import let, running
 
 # Marks that end a sentence, marks that end a clause, closing marks that may follow.
-ENDS = r".!?…。！？｡।॥؟۔"
-CLAUSES = r",;:，、；：،؛·"
-CLOSING = r"\"'”’»」』）)\]"
+HARD_ENDS = "。！？｡।॥؟۔"
+SOFT_ENDS = ".!?…"
+CLAUSES = ",;:，、；：،؛·"
+CLOSING = "\"'”’»」』）)]"
+# Signs of the classes: a word behind which a sentence or a clause ends, any other word; and characters of each kind.
+SENTENCE, CLAUSE, OTHER = "s", "c", "x"
+HARD, SOFT, CLOSE, DIGIT, BLANK = "h", "e", "q", "9", " "
+
+
+def _set(chars: str) -> str:
+    return "".join("\\" + c if c in "\"'])." else c for c in chars)
 
 
 def _text(*parts) -> Column:
@@ -29,96 +41,102 @@ def _text(*parts) -> Column:
 
 
 def cutting_pattern(unit: Column, size: Column, overlap: Column) -> Column:
-    """The pattern whose matches, one after the other, are the new parts of the pieces."""
-    step = size - overlap
+    """The pattern whose matches on the classes, one after the other, are the new parts of the pieces."""
 
-    def least(n: Column, start: str) -> Column:
-        """Half of what fits; the first piece holds at least what the second repeats."""
+    def of(n: Column, first: bool) -> Column:
+        """Half of what fits at least; the first piece holds at least what the second repeats."""
         half = F.greatest(F.lit(1), F.floor(n / 2))
-        return (F.greatest(half, overlap) if start else half).cast("int")
+        half = (F.greatest(half, overlap) if first else half).cast("int").cast("string")
+        start, most = (r"\A" if first else ""), n.cast("string")
+        some = _text(start, ".{", half, ",", most, "}")
+        rest = _text(start, ".{1,", most, r"}\z|")
+        words = _text(some, rf"(?<={SENTENCE})|", some, rf"(?<={CLAUSE})|", start, ".{", most, "}")
+        chars = _text(
+            some, rf"(?<={HARD}{CLOSE}{{0,2}})(?!{CLOSE})|", some, rf"(?<=[{HARD}{SOFT}]{CLOSE}{{0,2}})(?={BLANK})|", some, rf"(?<={CLAUSE})(?![{CLOSE}{DIGIT}])|", some, rf"(?={BLANK})|", start, ".{", most, "}",
+        )
+        return _text(rest, F.when(unit == "words", words).otherwise(chars))
 
-    def words(n: Column, start: str) -> Column:
-        more, half = n - 1, least(n, start) - 1
-        some = lambda lo, hi: _text(start, " *+[^ ]++(?: ++[^ ]++){", F.least(lo, hi).cast("string"), ",", hi.cast("string"), "}")
-        return _text(
-            some(F.lit(0), more), r" *\z", "|", some(half, more), rf"(?<=[{ENDS}][{CLOSING}]{{0,2}})(?= |\z)", "|", some(half, more), rf"(?<=[{CLAUSES}])(?= |\z)", "|", some(more, more)
-        )
+    return _text(of(size, True), "|", of(size - overlap, False))
 
-    def chars(n: Column, start: str) -> Column:
-        some = lambda lo: _text(start, "(?s:.){", lo.cast("string"), ",", n.cast("string"), "}")
-        half = least(n, start)
-        return _text(
-            some(F.lit(1)), r"\z", "|", some(half), rf"(?<=[。！？｡।॥؟۔][{CLOSING}]{{0,2}})(?![{CLOSING}])", "|", some(half), rf"(?<=[{ENDS}][{CLOSING}]{{0,2}})(?= )", "|",
-            some(half), rf"(?<=[{CLAUSES}])(?![{CLOSING}0-9])", "|", some(half), "(?= )", "|", start, "(?s:.){", n.cast("string"), "}",
-        )
 
-    both = [_text(kind(size, r"\A"), "|", kind(step, "")) for kind in (words, chars)]
-    return F.when(unit == "words", both[0]).otherwise(both[1])
+def classes(text: Column, unit: Column) -> Column:
+    """One sign for each unit of the text."""
+    ends = rf"[{_set(SOFT_ENDS + HARD_ENDS)}][{_set(CLOSING)}]{{0,2}}\z"
+    kind = lambda w: F.when(F.regexp_like(w, F.lit(ends)), SENTENCE).when(F.regexp_like(w, F.lit(rf"[{_set(CLAUSES)}]\z")), CLAUSE).otherwise(OTHER)
+    by_word = F.array_join(F.transform(_words(text), kind), "")
+    known = HARD_ENDS + SOFT_ENDS + CLAUSES + CLOSING + "0123456789"
+    signs = HARD * len(HARD_ENDS) + SOFT * len(SOFT_ENDS) + CLAUSE * len(CLAUSES) + CLOSE * len(CLOSING) + DIGIT * 10
+    by_char = F.translate(F.regexp_replace(text, rf"[^ 0-9{_set(known[:-10])}]", OTHER), known, signs)
+    return F.when(unit == "words", by_word).otherwise(by_char)
 
 
-def lookback_pattern(overlap: Column) -> Column:
-    """On reversed text: its first `overlap` words."""
-    return _text(" *+[^ ]++(?: ++[^ ]++){0,", F.greatest(overlap - 1, F.lit(0)).cast("string"), "}")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " ", -1), lambda w: w != "")
 
 
 def limits(detectors: DataFrame) -> DataFrame:
-    """detector_id, unit, size, overlap and patterns; the default detector once more under the id null."""
+    """detector_id, unit, size, overlap, is_default and the cutting pattern of each detector; of several rows the greatest."""
     one = detectors.where("max_seq_len is not null").groupBy("detector_id").agg(F.max(F.struct("max_seq_len", "overlap", "unit", "is_default")).alias("d")).select("detector_id", "d.*")
-    default = one.where("is_default").orderBy("detector_id").limit(1).withColumn("detector_id", F.lit(None).cast("string"))
-    every = one.where("detector_id is not null").unionByName(default)
     size = F.greatest(F.col("max_seq_len"), F.lit(1)).cast("int")
     overlap = F.least(F.greatest(F.coalesce("overlap", F.lit(0)), F.lit(0)), size - 1).cast("int")
-    every = every.select("detector_id", "unit", size.alias("size"), overlap.alias("overlap"))
-    return every.withColumn("cutter", cutting_pattern(F.col("unit"), F.col("size"), F.col("overlap"))).withColumn("tail", lookback_pattern(F.col("overlap")))
+    every = one.select("detector_id", "unit", size.alias("size"), overlap.alias("overlap"), "is_default")
+    return every.withColumn("cutter", cutting_pattern(F.col("unit"), F.col("size"), F.col("overlap")))
 
 
 def cut(df: DataFrame, detectors: DataFrame, text_col: str = "text", detector_col: str = "detector_id") -> DataFrame:
-    """df with unit, size, overlap and `cuts`, the new parts of each row's pieces in order.
+    """df with lim_unit, lim_size, lim_overlap and `cuts`: how many units each piece adds, in order.
 
-    The detectors are a table of fixed size; the engine broadcasts it by its measured size.
+    One equi-join on the detector's id; the default detector is a single row and comes in
+    as a scalar. Without any detector a text is one piece.
     """
-    lim = limits(detectors).select(*[F.col(c).alias(f"lim_{c}") for c in ("detector_id", "unit", "size", "overlap", "cutter", "tail")])
-    known = lim.where("lim_detector_id is not null")
-    default = lim.where("lim_detector_id is null").select(*[F.col(c).alias(f"d{c}") for c in lim.columns], F.lit(1).alias("dkey"))
-    joined = df.join(known, F.col(detector_col) == F.col("lim_detector_id"), "left").join(default, F.lit(1) == F.col("dkey"), "left")
-    held = [F.coalesce(c, f"d{c}").alias(c) for c in lim.columns if c != "lim_detector_id"]
-    joined = joined.select(*df.columns, *held)
-    found = F.regexp_extract_all(text_col, F.col("lim_cutter"), F.lit(0))
-    # blanks hold no words, but each is a character
-    blank = (F.trim(text_col) == "") & ((F.col("lim_unit") == "words") | (F.char_length(text_col) <= F.col("lim_size")))
-    cuts = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("lim_size").isNull() | blank, F.array(text_col)).otherwise(found)
-    return joined.withColumn("cuts", cuts)
+    lim = limits(detectors)
+    held = F.struct("unit", "size", "overlap", "cutter")
+    default = lim.where("is_default").orderBy("detector_id").limit(1).select(held.alias("d")).scalar()
+    known = lim.where("detector_id is not null").select(F.col("detector_id").alias("lim_detector_id"), held.alias("lim_known"))
+    joined = df.join(known, F.col(detector_col) == F.col("lim_detector_id"), "left").withColumn("lim", F.coalesce("lim_known", default))
+    unit, text = F.col("lim.unit"), F.col(text_col)
+    found = F.transform(F.regexp_extract_all(classes(text, unit), F.col("lim.cutter"), F.lit(0)), F.char_length)
+    one = F.array(F.when(unit == "words", F.size(_words(text))).otherwise(F.char_length(text)))
+    cuts = F.when(text.isNull(), F.lit(None)).when(F.col("lim").isNull() | F.coalesce(F.size(found) == 0, F.lit(True)), one).otherwise(found)
+    # a generator keeps the optimizer from repeating the search wherever its result is used
+    return joined.select(*df.columns, F.col("lim.unit").alias("lim_unit"), F.col("lim.size").alias("lim_size"), F.col("lim.overlap").alias("lim_overlap"), F.explode(F.array(cuts)).alias("cuts"))
 
 
 def pieces(df: DataFrame, detectors: DataFrame, keys: list[str], text_col: str = "text", detector_col: str = "detector_id") -> DataFrame:
     """keys, piece_no, start_pos, end_pos, size, text of every piece; a text within its limit is one piece.
 
-    Each key has one row. In words, a piece begins and ends with a word; in chars, pieces
-    cover the text wholly. Work is linear in the text: cuts are exploded without it.
+    In words, a piece begins and ends with a word; in chars, pieces cover the text wholly.
+    Every row is cut by itself.
     """
-    half = F.greatest(F.lit(1), F.floor((F.col("size") - F.col("overlap")) / 2))
-    # one row of a table of fixed size: over how many cuts an overlap can reach back
-    back = limits(detectors).agg(F.max(1 + F.ceil(F.col("overlap") / half)).alias("n")).first()["n"] or 1
-    rows = cut(df.select(*keys, text_col, detector_col), detectors, text_col, detector_col)
-    c = rows.select(*keys, "lim_unit", "lim_overlap", "lim_tail", F.posexplode("cuts").alias("piece_no", "new"))
-    order = W.partitionBy(*keys).orderBy("piece_no")
-    c = c.withColumn("at", F.coalesce(F.sum(F.char_length("new")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    c = c.withColumn("past", F.array_join(F.collect_list("new").over(order.rowsBetween(-int(back), -1)), ""))
-    is_words = F.coalesce(F.col("lim_unit") == "words", F.lit(False))
-    alone = (F.col("piece_no") == 0) | (F.coalesce("lim_overlap", F.lit(0)) == 0)
-    lead = F.char_length("new") - F.char_length(F.ltrim("new"))
-    repeated = F.when(is_words, F.char_length(F.expr("regexp_extract(reverse(past), lim_tail, 0)"))).otherwise(F.least(F.col("lim_overlap"), F.char_length("past")))
-    c = c.withColumn("repeated", F.when(alone, F.lit(0)).otherwise(repeated))
-    text = F.concat(F.expr("right(past, repeated)"), F.when(is_words & alone, F.ltrim("new")).otherwise(F.col("new")))
-    c = c.withColumn("text", F.when(is_words, F.rtrim(text)).otherwise(text))
-    c = c.withColumn("start_pos", (F.col("at") - F.col("repeated") + F.when(is_words & alone, lead).otherwise(F.lit(0))).cast("int"))
-    n_words = F.size(F.filter(F.split("text", " "), lambda x: x != ""))
-    size = F.when(is_words, n_words).otherwise(F.char_length("text"))
-    return c.select(*keys, "piece_no", "start_pos", (F.col("start_pos") + F.char_length("text")).alias("end_pos"), size.alias("size"), "text")
-
-
-def oversized(df: DataFrame, detectors: DataFrame, keys: list[str], order: str = "loaded_at", text_col: str = "text", detector_col: str = "detector_id") -> DataFrame:
-    """Keys of the rows that come out in more than one piece, by the row loaded last of each key."""
-    rows = cut(df.select(*keys, order, text_col, detector_col), detectors, text_col, detector_col)
-    last = rows.withColumn("n_cuts", F.size("cuts")).groupBy(*keys).agg(F.max(F.struct(order, "n_cuts")).alias("r"))
-    return last.where("r.n_cuts > 1").select(*keys)
+    rows = cut(df.select(*keys, text_col, detector_col), detectors, text_col, detector_col).where("cuts is not null")
+    text, is_words = F.col(text_col), F.coalesce(F.col("lim_unit") == "words", F.lit(False))
+    back = F.coalesce(F.col("lim_overlap"), F.lit(0))
+
+    def ranges(x: Column) -> Column:
+        """First unit and the one behind the last of every piece."""
+        return F.transform(F.arrays_zip(x["cuts"].alias("n"), x["at"].alias("at")), lambda c: F.struct(F.greatest(c["at"] - back, F.lit(0)).cast("int").alias("a"), (c["at"] + c["n"]).cast("int").alias("b")))
+
+    units = let(F.struct(F.col("cuts").alias("cuts"), running(F.col("cuts")).alias("at")), ranges)
+
+    def by_word(x: Column) -> Column:
+        parts, at, first = x["parts"], x["at"], x["first"]  # stretches between blanks, where each begins, and which of them are words
+
+        def piece(u: Column) -> Column:
+            i, j = F.get(first, u["a"]), F.get(first, u["b"] - 1)
+            empty = u["b"] <= u["a"]
+            return F.struct(
+                F.when(empty, F.lit(0)).otherwise(F.get(at, i)).cast("int").alias("start_pos"), F.when(empty, F.lit(0)).otherwise(F.get(at, j) + F.char_length(F.get(parts, j))).cast("int").alias("end_pos"),
+                (u["b"] - u["a"]).alias("size"), F.when(empty, F.lit("")).otherwise(F.array_join(F.slice(parts, i + 1, j - i + 1), " ")).alias("text"),
+            )
+
+        return F.transform(x["units"], piece)
+
+    words = let(F.split(text, " ", -1), lambda p: F.struct(p.alias("parts"), running(F.transform(p, lambda w: F.char_length(w) + 1)).alias("at"), F.filter(F.transform(p, lambda w, i: F.when(w != "", i)), lambda i: i.isNotNull()).alias("first"), units.alias("units")))
+    chars = lambda u: F.struct(u["a"].alias("start_pos"), u["b"].alias("end_pos"), (u["b"] - u["a"]).alias("size"), F.substring(text, u["a"] + 1, u["b"] - u["a"]).alias("text"))
+    out = F.when(is_words, let(words, by_word)).otherwise(F.transform(units, chars))
+    return rows.select(*keys, F.posexplode(out).alias("piece_no", "piece")).select(*keys, "piece_no", "piece.*")
+
+
+def oversized(df: DataFrame, detectors: DataFrame, keys: list[str], text_col: str = "text", detector_col: str = "detector_id") -> DataFrame:
+    """Keys of the rows that come out in more than one piece; each key has one row."""
+    return cut(df.select(*keys, text_col, detector_col), detectors, text_col, detector_col).where(F.size("cuts") > 1).select(*keys)

@@ -13,13 +13,31 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _last_paragraphs(spark, d):
+    return tables.latest(table(spark, d, "paragraphs"), ["doc", "para_no"], ["text", "detector_id"])
+
+
 def p1_found(spark, d):
-    return pieces.oversized(table(spark, d, "paragraphs"), table(spark, d, "detectors"), ["doc", "para_no"])
+    return pieces.oversized(_last_paragraphs(spark, d), table(spark, d, "detectors"), ["doc", "para_no"])
 
 
 def p1_pieces(spark, d):
-    paragraphs = tables.latest(table(spark, d, "paragraphs"), ["doc", "para_no"], ["text", "detector_id"])
-    return pieces.pieces(paragraphs, table(spark, d, "detectors"), ["doc", "para_no"])
+    return pieces.pieces(_last_paragraphs(spark, d), table(spark, d, "detectors"), ["doc", "para_no"])
+
+
+def p1_checked(spark, d):
+    """What must hold of the pieces of every paragraph, seen from the pieces: none above the limit, each repeating `overlap` units, nothing but blanks left out."""
+    paragraphs = _last_paragraphs(spark, d)
+    made = pieces.pieces(paragraphs, table(spark, d, "detectors"), ["doc", "para_no"])
+    held = F.sort_array(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "size", F.col("text").alias("piece"))))
+    rows = pieces.cut(paragraphs, table(spark, d, "detectors")).join(made.groupBy("doc", "para_no").agg(held.alias("p")), ["doc", "para_no"])
+    units = lambda x: F.when(F.col("lim_unit") == "words", F.size(F.filter(F.split(x, " "), lambda w: w != ""))).otherwise(F.char_length(x))
+    part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    before = lambda i: F.get("p", i - 1)
+    within = F.forall("p", lambda x: (x["size"] <= F.col("lim_size")) & (x["piece"] == part(x["start_pos"], x["end_pos"])) & (x["size"] == units(x["piece"])))
+    repeated = F.forall(F.transform("p", lambda x, i: (i == 0) | (units(part(x["start_pos"], before(i)["end_pos"])) == F.col("lim_overlap"))), lambda x: x)
+    new = F.aggregate(F.transform("p", lambda x, i: x["size"] - F.when(i == 0, F.lit(0)).otherwise(F.col("lim_overlap"))), F.lit(0), lambda a, n: a + n)
+    return rows.select("doc", "para_no", units(F.col("text")).alias("n_units"), within.alias("within"), repeated.alias("repeated"), new.alias("n_new"))
 
 
 def _words(spark, d):
@@ -112,15 +130,16 @@ def p8_report(spark, d):
     return shared_spans.shared_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_repaired, p2_glyphs, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_ranges, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checked, p2_found, p2_repaired, p2_glyphs, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_ranges, p8_report)}
 
-ORACLE: dict[str, str] = {
-    "p1_found": """
+_P1 = """
         WITH det AS (SELECT * FROM detectors WHERE max_seq_len IS NOT NULL),
         p AS (SELECT doc, para_no, arg_max(text, loaded_at) AS text, arg_max(coalesce(detector_id, ''), loaded_at) AS det_id FROM paragraphs GROUP BY doc, para_no),
         q AS (SELECT p.*, coalesce(d.unit, b.unit) AS unit, coalesce(d.max_seq_len, b.max_seq_len) AS size
-              FROM p LEFT JOIN det d ON p.det_id = d.detector_id CROSS JOIN (SELECT * FROM det WHERE is_default) b)
-        SELECT doc, para_no FROM q
-        WHERE CASE WHEN unit = 'words' THEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) ELSE length(text) END > size
-    """,
+              FROM p LEFT JOIN det d ON p.det_id = d.detector_id CROSS JOIN (SELECT * FROM det WHERE is_default) b),
+        n AS (SELECT *, CAST(CASE WHEN unit = 'words' THEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) ELSE length(text) END AS INT) AS n_units FROM q WHERE text IS NOT NULL)
+"""
+ORACLE: dict[str, str] = {
+    "p1_found": _P1 + "SELECT doc, para_no FROM n WHERE n_units > size",
+    "p1_checked": _P1 + "SELECT doc, para_no, n_units, true AS within, true AS repeated, n_units AS n_new FROM n",
 }

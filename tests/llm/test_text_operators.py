@@ -54,6 +54,19 @@ def test_natural_breaks_and_edges(spark):
     assert got[5][-1][1] == 50_000 and got[6][-1][1] == 79_999
 
 
+def test_large_limits_and_long_texts_end(spark):
+    """The expression engine's stack must not grow with the limit, nor with characters of two widths."""
+    long, mixed = " ".join(f"w{i}{'.' if i % 17 == 0 else ''}" for i in range(100_000)), "a😀" * 60_000
+    limits = [(f"{unit[0]}{n}", n, n // 8, unit, False) for unit in ("words", "chars") for n in (512, 5_000, 50_000)]
+    det = spark.createDataFrame(limits, "detector_id string, max_seq_len int, overlap int, unit string, is_default boolean")
+    df = spark.createDataFrame([(d, long if d[0] == "w" else mixed, d) for d, *_ in limits], "id string, text string, detector_id string")
+    for r in X.pieces(df, det, ["id"]).groupBy("id").agg(F.max("size").alias("most"), F.count("*").alias("n"), F.max("end_pos").alias("end")).collect():
+        n = int(r.id[1:])
+        assert n * 3 // 4 < r.most <= n and r.n >= (100_000 if r.id[0] == "w" else 120_000) / n and r.end == (len(long) if r.id[0] == "w" else 120_000)
+    # without a default, what isn't listed is one piece
+    assert X.pieces(df.withColumn("detector_id", F.lit("other")), det, ["id"]).count() == len(limits)
+
+
 def test_blank_texts_above_the_limit(spark):
     got = cut(spark, [(" " * 45, "c"), (" " * 20, "c"), (" " * 45, "w")])
     assert len(got[0]) > 1 and got[0][-1][1] == 45 and all(n <= 20 for _, _, n, _ in got[0])
@@ -67,7 +80,8 @@ def test_blank_texts_above_the_limit(spark):
 def test_oversized_takes_the_last_row(spark):
     det = spark.createDataFrame(DETECTORS, "detector_id string, max_seq_len int, overlap int, unit string, is_default boolean")
     df = spark.createDataFrame([("a", 1, "x " * 9, "w", 1), ("a", 1, "x", "w", 2), ("b", 1, "x " * 9, "w", 1), ("b", 1, "x " * 9, "w", 1), ("c", 1, "x " * 8, "w", 1)], "doc string, para_no int, text string, detector_id string, loaded_at int")
-    assert [tuple(r) for r in X.oversized(df, det, ["doc", "para_no"]).collect()] == [("b", 1)]
+    last = tables.latest(df, ["doc", "para_no"], ["text", "detector_id"])
+    assert [tuple(r) for r in X.oversized(last, det, ["doc", "para_no"]).collect()] == [("b", 1)]
     assert X.oversized(df.limit(0), det, ["doc", "para_no"]).count() == 0
 
 
