@@ -86,12 +86,13 @@ class CharModel:
         before = sum(c[single_slot(lang, np.full(len(prev), k), prev)] for k in range(5))
         return np.log((c[pair_slot(lang, prev, cur)] + BACK * near) / (before + BACK))
 
-    def score(self, cp: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Log probability of each text in its language."""
+    def score(self, cp: np.ndarray, offsets: np.ndarray, lang: np.ndarray, skip: int = -1) -> np.ndarray:
+        """Log probability of each text in its language; steps from or to the character `skip` count nothing."""
         if len(offsets) == 1:
             return np.zeros(0)
         prev, cur, row = padded(cp, offsets)
-        return np.bincount(row, self.steps(lang[row], prev, cur), minlength=len(offsets) - 1)
+        gain = self.steps(lang[row], prev, cur)
+        return np.bincount(row, np.where((prev == skip) | (cur == skip), 0.0, gain), minlength=len(offsets) - 1)
 
 
 def count(words: DataFrame) -> np.ndarray:

@@ -1,16 +1,22 @@
 """Words whose bytes were read in a wrong encoding, and their original text.
 
-Every distinct (source, text) of a field gets the readings that undo a chain "written as A,
-read as B", each with its log likelihood in the language's character model. Expectation-
-maximization treats the chain as latent: the E step gives each word's posterior over chains,
-the M step the share of each chain in the language and in the record's source (its
-document), so that weak evidence of many words adds up; both are iterated. A word is repaired by the best
-posterior. A replacement character is always a wrong one; its word counts as found and is
-not restored. The same operator serves any field that has a source and a language.
+Every distinct text of a language gets the readings that undo a chain "written as A, read
+as B", each with its log likelihood in the language's character model; a text with
+replacement characters has the one reading that they hide what can't be told. Expectation-
+maximization treats the chain as latent: the E step gives each text's posterior over chains
+inside its row, as arrays; the M step the share of each chain in the language and in the
+record's source and field, so that weak evidence of many words adds up; both are iterated.
+A word is repaired by the best posterior. The same operator serves any field: a field's
+cells have a source of their own (the document for words, the font for glyphs).
+
+Texts are counted and scored once a language, whatever the number of their records. What
+moves between steps are expected counts by chain, added up before they are shuffled; of a
+source there is one small row, dealt over SALTS parts where its texts are.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -31,13 +37,20 @@ WRITTEN = {
 }
 TAKEN_FOR = ["cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866", "cp1253", "gb18030"]
 SEVERAL = {"gb18030", "cp932", "big5", "euc_jp"}
-LOSSY = "lossy"
+LOSSY, LOST = "lossy", "\ufffd"
+#: Log odds of a reading that puts letters of another script into what looks like the name of a mailbox or site.
+IN_NAME = -20.0
+#: A reading so far below the text itself is let go. As shares add up to 1 at most and the text keeps a weight of LEAST,
+#: all such readings together have a posterior below exp(-FAR) / LEAST = 0.34: they can't win.
+FAR, LEAST = 8.0, 1e-3
 #: Log odds of a word written with look-alikes, which competes with the chains.
 ALIKE = -3.0
 #: Prior share of wrong words before anything is known, the weight of the language's shares in a source, and rounds of EM.
 PRIOR, POOL, ROUNDS = 0.02, 1.0, 4
-#: EM of the sources ends when no chain's expected count in any source moves by more than this, or after so many rounds.
-SETTLED, SOURCE_ROUNDS = 0.01, 12
+#: Share of a chain that the language doesn't show, and parts that a source's texts are dealt over.
+UNSEEN, SALTS = 1e-5, 16
+#: EM of the sources ends when no chain's expected number of words in any source moves by more than this, or after so many rounds.
+SETTLED, SOURCE_ROUNDS = 0.25, 12
 
 
 @lru_cache(None)
@@ -119,8 +132,9 @@ def has_latin_name(word: str) -> bool:
 def readings(word: str, langs: tuple[str, ...]) -> dict[str, str]:
     """Chain name -> the text that the chain would have come from, where that differs from the word."""
     out: dict[str, str] = {}
+    if LOST in word:
+        return {LOSSY: word}
     seen = set()
-    name = not any(lang in LATIN_EXTRA for lang in langs) and has_latin_name(word)
     for taken in TAKEN_FOR:
         stretches = parts(word, taken)
         if not any(isinstance(s, bytes) and max(s) > 0x7F for s in stretches):
@@ -131,9 +145,6 @@ def readings(word: str, langs: tuple[str, ...]) -> dict[str, str]:
             text = read(stretches, written)
             if text is None or text == word or text in seen:
                 continue
-            # the Latin letters of an address are no text of another script
-            if name and written != "utf-8":
-                continue
             seen.add(text)
             out[f"{written}>{taken}"] = text
             if written == "utf-8" and taken in ("cp1252", "latin_1"):
@@ -144,122 +155,160 @@ def readings(word: str, langs: tuple[str, ...]) -> dict[str, str]:
     return out
 
 
-TYPE_DDL = "source string, lang string, text string, n long, base double, chains array<string>, texts array<string>, scores array<double>"
+TYPE_DDL = "lang string, text string, n long, base double, chains array<string>, texts array<string>, scores array<double>"
 
 
-def scored(words: DataFrame, model) -> DataFrame:
-    """(source, lang, text, n) with non-ASCII text -> its own score and its readings with theirs."""
+def scored(kinds: DataFrame, model) -> DataFrame:
+    """(lang, text, n), distinct, with non-ASCII text -> its own score and its readings with theirs; texts without any are left out."""
 
     def run(batches):
         m = CharModel(model.value)
         for batch in batches:
-            texts, langs = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            texts, langs = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             index = lang_index(langs)
-            found = []
-            memory: dict = {}
-            for t, i in zip(texts, index):
-                key = (t, i)
-                if key not in memory:
-                    memory[key] = readings(t, (LANGS[i],) if i != UNKNOWN else tuple(LANGS))
-                found.append(memory[key])
-            alike = plain(batch.column(2), index).to_pylist()
+            found = [readings(t, (LANGS[i],) if i != UNKNOWN else tuple(LANGS)) for t, i in zip(texts, index)]
+            sizes = np.array([len(f) for f in found], np.int64)
+            alike = plain(batch.column(1), index).to_pylist()
             flat_texts = [*texts, *alike, *(r for f in found for r in f.values())]
             every = np.arange(len(texts))
-            owner = np.concatenate([every, every, np.repeat(every, [len(f) for f in found])]).astype(np.int64)
+            row = np.repeat(every, sizes)
+            owner = np.concatenate([every, every, row])
             cp, offsets = flat(pa.array(flat_texts, pa.string()))
-            score = m.score(cp, offsets, index[owner])
-            at = len(texts)
-            score[:at] = np.maximum(score[:at], score[at : 2 * at] + ALIKE)
-            at *= 2
-            chains, others, values = [], [], []
-            for f in found:
-                s = score[at : at + len(f)]
-                at += len(f)
-                names, own = list(f), list(f.values())
-                # readings far below the text itself can't win under any share
-                good = [k for k in range(len(s)) if s[k] > score[len(chains)] - 8]
-                chains.append([names[k] for k in good])
-                others.append([own[k] for k in good])
-                values.append([float(s[k]) for k in good])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score[: len(texts)]), pa.array(chains, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64()))],
-                names=["source", "lang", "text", "n", "base", "chains", "texts", "scores"],
-            )
-
-    return words.mapInArrow(run, TYPE_DDL)
-
-
-def posteriors(types: DataFrame, shares: dict[tuple[str, str], float], prior: DataFrame | None) -> DataFrame:
-    """Exploded readings with `p`, their posterior; chains' shares come from the language and, if given, from the source."""
-    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in ("\t".join(k), v)]) if shares else F.create_map().cast("map<string,double>")
-    rows = types.where(F.size("chains") > 0).withColumn("r", F.explode(F.arrays_zip("chains", "texts", "scores")))
-    rows = rows.select("source", "lang", "text", "n", "base", F.col("r.chains").alias("chain"), F.col("r.texts").alias("reading"), F.col("r.scores").alias("score"))
-    usual = F.coalesce(share[F.concat_ws("\t", F.coalesce("lang", F.lit("")), "chain")], F.lit(1e-5))
+            score = m.score(cp, offsets, index[owner], skip=ord(LOST))
+            whole = m.score(cp[: offsets[len(texts)]], offsets[: len(texts) + 1], index)
+            base = np.maximum(whole, score[len(texts) : 2 * len(texts)] + ALIKE)
+            # look-alikes can't stand for what is lost
+            base = np.where([LOSSY in f for f in found], whole, base)
+            own = score[2 * len(texts) :]
+            names = [c for f in found for c in f]
+            foreign = np.array([i == UNKNOWN or LANGS[i] not in LATIN_EXTRA for i in index], bool)
+            named = np.array([bool(k) and bool(f) and has_latin_name(t) for k, f, t in zip(foreign, found, texts)], bool)
+            own = own + IN_NAME * (named[row] & ~np.array([c.startswith("utf-8") for c in names], bool))
+            keep = own > base[row] - FAR
+            n = np.bincount(row[keep], minlength=len(texts))
+            some = n > 0
+            at = np.flatnonzero(keep)
+            cut = pa.array(np.concatenate([[0], np.cumsum(n[some])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in ([names[k] for k in at], [flat_texts[2 * len(texts) + k] for k in at], own[at])]
+            lists = [x.cast(pa.list_(t)) for x, t in zip(lists, (pa.string(), pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(some)) for c in batch.columns), pa.array(base[some]), *lists], names=["lang", "text", "n", "base", "chains", "texts", "scores"])
+
+    return kinds.mapInArrow(run, TYPE_DDL)
+
+
+def weighed(types: DataFrame, shares: dict[tuple[str, str], float], prior: DataFrame | None) -> DataFrame:
+    """types with `ps`, the posterior of each of their readings; shares of chains come from the language and, if given, from the source.
+
+    prior: source, salt, counts (map of a chain's expected number), source_n.
+    """
+    by_lang: dict[str, dict[str, float]] = {}
+    for (lang, chain), v in shares.items():
+        by_lang.setdefault(lang, {})[chain] = v
+    # one literal, whatever the number of chains
+    table = F.from_json(F.lit(json.dumps(by_lang)), "map<string,map<string,double>>")
+    rows = types.withColumn("usual", table[F.coalesce("lang", F.lit(""))])
+    usual = lambda c: F.coalesce(F.col("usual")[c], F.lit(UNSEEN))
     if prior is None:
-        rows = rows.withColumn("share", usual)
+        rows = rows.withColumn("share", F.transform("chains", usual))
     else:
-        rows = rows.join(prior, ["source", "chain"], "left").withColumn("share", (F.coalesce("chain_n", F.lit(0.0)) + POOL * usual) / (F.coalesce("source_n", F.lit(0.0)) + POOL)).drop("chain_n", "source_n")
-    own = W.partitionBy("source", "lang", "text")
-    rows = rows.withColumn("top", F.greatest("base", F.max("score").over(own))).withColumn("odds", F.col("share") * F.exp(F.col("score") - F.col("top")))
-    right = F.greatest(1 - F.sum("share").over(own), F.lit(1e-3)) * F.exp(F.col("base") - F.col("top"))
-    return rows.withColumn("p", F.col("odds") / (F.sum("odds").over(own) + right))
-
+        rows = rows.join(prior, ["source", "salt"], "left")
+        own = lambda c: (F.coalesce(F.col("counts")[c], F.lit(0.0)) + POOL * usual(c)) / (F.coalesce("source_n", F.lit(0)) + POOL)
+        rows = rows.withColumn("share", F.transform("chains", own))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    rows = rows.withColumn("top", F.greatest("base", F.array_max("scores")))
+    rows = rows.withColumn("odds", F.zip_with("share", "scores", lambda a, s: a * F.exp(s - F.col("top"))))
+    right = F.greatest(1 - total(F.col("share")), F.lit(LEAST)) * F.exp(F.col("base") - F.col("top"))
+    return rows.withColumn("sum", total(F.col("odds")) + right).withColumn("ps", F.transform("odds", lambda o: o / F.col("sum"))).drop("usual", "share", "top", "odds", "sum")
+
+
+def language_shares(kinds: DataFrame, sizes: dict[str, int]) -> dict[tuple[str, str], float]:
+    """Shares of chains by language; as small as languages times chains."""
+    pairs = {(r["lang"] or "", r["chain"]) for r in kinds.select("lang", F.explode("chains").alias("chain")).distinct().collect()}
+    each = {lang: sum(x == lang for x, _ in pairs) for lang, _ in pairs}
+    shares = {(lang, chain): PRIOR / each[lang] for lang, chain in pairs}
+    for _ in range(ROUNDS if pairs else 0):
+        moved = weighed(kinds, shares, None).select("lang", "n", F.explode(F.arrays_zip("chains", "ps")).alias("one_reading"))
+        got = moved.groupBy("lang", F.col("one_reading.chains").alias("chain")).agg(F.sum(F.col("one_reading.ps") * F.col("n")).alias("n")).collect()
+        shares = {(r["lang"] or "", r["chain"]): (r["n"] + 0.05) / (sizes.get(r["lang"] or "", 0) + 100) for r in got}
+    return shares
 
-def learn(types: DataFrame, totals: DataFrame, checkpoint=None) -> tuple[dict, DataFrame]:
-    """Shares of chains by language (small: languages times chains), and expected counts by source.
 
-    The language's shares are settled first; then E and M steps by source go on from them.
-    """
-    sizes = {r["lang"] or "": r["n"] for r in totals.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    shares: dict[tuple[str, str], float] = {}
-    pairs = types.select("lang", F.explode("chains").alias("chain")).distinct().collect()
-    kinds: dict[str, int] = {}
-    for r in pairs:
-        kinds[r["lang"] or ""] = kinds.get(r["lang"] or "", 0) + 1
-    shares = {(r["lang"] or "", r["chain"]): PRIOR / kinds[r["lang"] or ""] for r in pairs}
-    for _ in range(ROUNDS):
-        got = posteriors(types, shares, None).groupBy("lang", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("n")).collect()
-        shares = {(r["lang"] or "", r["chain"]): (r["n"] + 0.05) / (sizes.get(r["lang"] or "", 0) + 100) for r in got}
-    all_n = totals.groupBy("source").agg(F.sum("n").cast("double").alias("source_n"))
+def source_counts(types: DataFrame, shares: dict, sizes: DataFrame, checkpoint) -> DataFrame:
+    """source, salt, counts, source_n after EM by source, which goes on from the languages' shares until it settles."""
     prior = None
     for _ in range(SOURCE_ROUNDS):
-        mass = posteriors(types, shares, prior).groupBy("source", "chain").agg(F.sum(F.col("p") * F.col("n")).alias("chain_n")).join(all_n, "source")
-        if checkpoint:
-            mass = checkpoint(mass)
-        before = mass.withColumn("last_n", F.lit(0.0)) if prior is None else mass.join(prior.select("source", "chain", F.col("chain_n").alias("last_n")), ["source", "chain"], "left")
-        moved = before.agg(F.max(F.abs(F.col("chain_n") - F.coalesce("last_n", F.lit(0.0)))).alias("n")).first()["n"]
-        prior = mass
-        if (moved or 0.0) <= SETTLED:
+        last = F.lit(0.0) if prior is None else F.coalesce(F.col("counts")[F.col("one_reading.chains")], F.lit(0.0))
+        moved = weighed(types, shares, prior).withColumn("one_reading", F.explode(F.arrays_zip("chains", "ps"))).select("source", F.col("one_reading.chains").alias("chain"), (F.col("one_reading.ps") * F.col("n")).alias("m"), last.alias("last"))
+        mass = moved.groupBy("source", "chain").agg(F.sum("m").alias("m"), F.max("last").alias("last"))
+        one = mass.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "m"))).alias("counts"), F.max(F.abs(F.col("m") - F.col("last"))).alias("moved"))
+        one = checkpoint(one.join(sizes, "source", "left"))
+        most = one.agg(F.max("moved").alias("m")).first()["m"]
+        prior = one.select("source", "counts", "source_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        if (most or 0.0) <= SETTLED:
             break
-    return shares, prior
+    return prior
 
 
-def repair(cells: DataFrame, keys: list[str], checkpoint=None) -> DataFrame:
-    """Wrong cells of (keys..., source, lang, text): keys, text, restored (null if it can't be told), chain, posterior.
+def normal(cells: DataFrame) -> DataFrame:
+    """cells that have text, in a language that is known or null."""
+    return cells.where(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("lang", F.when(F.lower("lang").isin(LANGS), F.lower("lang")))
 
-    Null and empty texts are never wrong. Duplicate rows give one row. A text of unknown
-    language is read in the encodings of all languages.
+
+def strange(text) -> F.Column:
+    """Whether a text has a character beyond ASCII: no other can be wrong."""
+    return F.regexp_like(text, F.lit(r"[^\x00-\x7F]"))
+
+
+def same_text(a: str, b: str, source: bool = True) -> F.Column:
+    """Join of two tables by source (if wanted), language and text."""
+    out = F.col(f"{a}.lang").eqNullSafe(F.col(f"{b}.lang")) & (F.col(f"{a}.text") == F.col(f"{b}.text"))
+    return out & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) if source else out
+
+
+def wrong_texts(cells: DataFrame, corpus: DataFrame, checkpoint) -> DataFrame:
+    """(source, lang, text, restored, chain, posterior) of the distinct wrong texts of each source.
+
+    cells: source, lang, text of the records to judge; corpus: the same of all there are,
+    for the character model and the sources' sizes. Duplicate rows weigh as they come.
     """
     spark = cells.sparkSession
-    cells = cells.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    cells = cells.withColumn("lang", F.when(F.lower("lang").isin(LANGS), F.lower("lang")))
-    words = cells.groupBy("source", "lang", "text").agg(F.count("*").alias("n"))
-    if checkpoint:
-        words = checkpoint(words)
-    model = spark.sparkContext.broadcast(count(words.groupBy("text", "lang").agg(F.sum("n").alias("n"))))
-    types = scored(words.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("source", "lang", "text", "n"), model)
-    if checkpoint:
-        types = checkpoint(types)
-    shares, prior = learn(types, words.select("source", "lang", "n"), checkpoint)
-    best = posteriors(types, shares, prior).groupBy("source", "lang", "text").agg(F.sum("p").alias("p"), F.max_by(F.struct("chain", "reading"), F.struct("p", "chain")).alias("b"))
-    best = best.where("p > 0.5").select("source", "lang", "text", F.col("b.reading").alias("restored"), F.col("b.chain").alias("chain"), F.col("p").alias("posterior"))
-    lost = types.where(F.col("text").contains("�")).select("source", "lang", "text", F.lit(None).cast("string").alias("restored"), F.lit(LOSSY).alias("chain"), F.lit(1.0).alias("posterior"))
-    wrong = best.where(~F.col("text").contains("�")).unionByName(lost)
-    same = (F.col("c.source") == F.col("w.source")) & F.col("c.lang").eqNullSafe(F.col("w.lang")) & (F.col("c.text") == F.col("w.text"))
-    out = cells.alias("c").join(wrong.alias("w"), same).select(*[f"c.{k}" for k in keys], "c.lang", "c.text", "w.restored", "w.chain", "w.posterior")
+    corpus = normal(corpus)
+    kinds = checkpoint(corpus.groupBy("lang", "text").agg(F.count("*").alias("n")))
+    model = spark.sparkContext.broadcast(count(kinds.select("text", "lang", "n")))
+    # Python takes long for each row: all shuffle partitions are kept
+    few = kinds.where(strange("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    readable = checkpoint(scored(few, model))
+    sizes = {r["lang"] or "": r["n"] for r in kinds.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    shares = language_shares(readable, sizes)
+    own = normal(cells).where(strange("text")).select("source", "lang", "text")
+    types = own.alias("c").join(readable.drop("n").alias("r"), same_text("c", "r", False)).groupBy("c.source", "c.lang", "c.text").agg(F.count("*").alias("n"))
+    types = types.alias("c").join(readable.drop("n").alias("r"), same_text("c", "r", False)).select("c.*", "r.base", "r.chains", "r.texts", "r.scores")
+    types = checkpoint(types.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")))
+    prior = source_counts(types, shares, corpus.groupBy("source").agg(F.count("*").alias("source_n")), checkpoint)
+    done = weighed(types, shares, prior).withColumn("posterior", F.aggregate("ps", F.lit(0.0), lambda a, v: a + v)).where("posterior > 0.5")
+    best = (F.array_position("ps", F.array_max("ps")) - 1).cast("int")
+    restored = F.when(F.get("chains", best) != LOSSY, F.get("texts", best))
+    return done.select("source", "lang", "text", restored.alias("restored"), F.get("chains", best).alias("chain"), "posterior")
+
+
+def wrong_cells(cells: DataFrame, wrong: DataFrame, keys: list[str]) -> DataFrame:
+    """Wrong cells: keys, lang, text, restored, chain, posterior; duplicate rows give one."""
+    own = normal(cells).where(strange("text"))
+    out = own.alias("c").join(wrong.alias("w"), same_text("c", "w")).select(*[f"c.{k}" for k in keys], "c.lang", "c.text", "w.restored", "w.chain", "w.posterior")
     return out.dropDuplicates(keys)
 
 
+def repair(cells: DataFrame, keys: list[str], checkpoint, corpus: DataFrame | None = None) -> DataFrame:
+    """Wrong cells of (keys..., source, lang, text): keys, lang, text, restored (null if it can't be told), chain, posterior.
+
+    Null and empty texts are never wrong. Duplicate rows give one row. A text of unknown
+    language is read in the encodings of all languages. `corpus` has all texts with source
+    and lang, where cells are only some of them.
+    """
+    wrong = wrong_texts(cells, cells if corpus is None else corpus, checkpoint)
+    return wrong_cells(cells, wrong, keys)
+
+
 def wrong_glyphs(decoders: DataFrame, letters: DataFrame, wrong: DataFrame) -> DataFrame:
     """Entries of fonts' maps that hold wrong characters: doc, font_no, code, value, restored (null if it can't be told), n_letters.
 

@@ -41,23 +41,30 @@ def p1_checked(spark, d):
 
 
 def _words(spark, d):
-    return tables.words_with_lang(table(spark, d, "words"), table(spark, d, "paragraphs"))
+    """Words of paragraphs, and the paragraphs, which tell their languages."""
+    return tables.in_paragraphs(table(spark, d, "words")), tables.checkpointed(tables.paragraphs_with_lang(table(spark, d, "paragraphs")))
 
 
-def _wrong_words(words):
-    return mojibake.repair(words.withColumn("source", F.col("doc")), WORD, tables.checkpointed)
+def _strange_words(words, paragraphs):
+    """The words that may be wrong, with their language: the others need no join."""
+    return tables.with_lang(words.where(mojibake.strange("text")), paragraphs).withColumn("source", F.col("doc"))
+
+
+def _wrong_words(spark, d):
+    words, paragraphs = _words(spark, d)
+    return mojibake.repair(_strange_words(words, paragraphs), WORD, tables.checkpointed, tables.words_of(paragraphs))
 
 
 def p2_found(spark, d):
-    return _wrong_words(_words(spark, d)).select(*WORD)
+    return _wrong_words(spark, d).select(*WORD)
 
 
 def p2_repaired(spark, d):
-    return _wrong_words(_words(spark, d)).select(*WORD, "text", "restored", "chain", "posterior")
+    return _wrong_words(spark, d).select(*WORD, "text", "restored", "chain", "posterior")
 
 
 def p2_glyphs(spark, d):
-    return mojibake.wrong_glyphs(table(spark, d, "font_decoders"), table(spark, d, "letters"), _wrong_words(_words(spark, d)))
+    return mojibake.wrong_glyphs(table(spark, d, "font_decoders"), table(spark, d, "letters"), _wrong_words(spark, d))
 
 
 def _items(spark, d):
@@ -74,23 +81,35 @@ def p3_masked(spark, d):
     return personal.masked(paragraphs, found, ["doc", "para_no"])
 
 
+def _changeable(text):
+    """Whether a word has a character that isn't printable ASCII: no other is changed."""
+    return F.regexp_like(text, F.lit(r"[^\x20-\x7E]"))
+
+
 def p4_found(spark, d):
-    words = tables.checkpointed(_words(spark, d))
-    changed = consistent.consistent(words).where("plain <> text").select(*WORD)
-    return changed.join(_wrong_words(words).select(*WORD), WORD, "left_anti")
+    words, paragraphs = _words(spark, d)
+    # forms are made once for each distinct text of a language
+    kinds = tables.words_of(paragraphs).where(_changeable("text")).select("lang", "text").distinct()
+    changed = tables.checkpointed(consistent.consistent(kinds).where("plain <> text"))
+    some = tables.with_lang(words.where(_changeable("text")), paragraphs)
+    alike = some.alias("c").join(changed.alias("k"), mojibake.same_text("c", "k", False)).select("c.*").withColumn("source", F.col("doc"))
+    wrong = mojibake.wrong_texts(_strange_words(words, paragraphs), tables.words_of(paragraphs), tables.checkpointed)
+    return alike.alias("c").join(wrong.alias("w"), mojibake.same_text("c", "w"), "left_anti").select(*WORD).distinct()
 
 
 def p4_words(spark, d):
-    return consistent.consistent(_words(spark, d)).select(*WORD, "text", "plain")
+    words, paragraphs = _words(spark, d)
+    own = tables.with_lang(words, paragraphs).groupBy(*WORD).agg(F.max(F.struct("text", "lang")).alias("w")).select(*WORD, "w.*")
+    return consistent.consistent(own).select(*WORD, "text", "plain")
 
 
 def _repaired_paragraphs(spark, d):
     """Paragraphs with their language and the repairs of their wrong words."""
-    words = _words(spark, d)
-    wrong = mojibake.repair(words.withColumn("source", F.col("doc")), [*WORD, "para_no", "start_pos", "end_pos"], tables.checkpointed)
-    out = tables.with_repairs(tables.paragraphs_with_lang(table(spark, d, "paragraphs"), "is_heading"), wrong)
     # the functions that follow take long for each row: all shuffle partitions are kept
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "para_no")
+    last = tables.paragraphs_with_lang(table(spark, d, "paragraphs"), "is_heading").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "para_no")
+    paragraphs = tables.checkpointed(last)
+    wrong = mojibake.repair(tables.strange_words_of(paragraphs, mojibake.strange), ["doc", "para_no", "text"], tables.checkpointed, tables.words_of(paragraphs))
+    return tables.with_repairs(paragraphs, wrong.drop("lang"))
 
 
 def p5_found(spark, d):

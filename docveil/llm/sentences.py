@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docveil.llm import consistent, mojibake
-from docveil.llm.scripts import LANGS, LATIN_EXTRA, native
+from docveil.llm import consistent
+from docveil.llm.scripts import LANGS, LATIN_EXTRA
 
-REPAIRS = "array<struct<start_pos:int,end_pos:int,restored:string,chain:string>>"
+REPAIRS = "array<struct<text:string,restored:string,chain:string>>"
 
 # Abbreviations that a sentence doesn't end with, although a capital or a number may follow.
 ABBREVIATIONS = {
@@ -219,33 +219,13 @@ def sizes(reading: str, chain: str, length: int) -> list[int]:
     return ends.tolist()
 
 
-@lru_cache(1)
-def unremarkable() -> np.ndarray:
-    """native(), and what a look-alike table replaces."""
-    known = native().copy()
-    for table in plain_tables():
-        known[:, list(table)] = True
-    known[:, consistent.NO_WIDTH] = True
-    return known
-
-
 @lru_cache(200_000)
 def plain_token(token: str, lang: str, restored: str | None = None, chain: str | None = None) -> tuple[str, tuple[int, ...]]:
-    """The token's plain form and, for each of its characters, the position in the token; then the length.
-
-    Without a given repair, a token with strange characters is read by the first chain that gives none.
-    """
+    """The token's plain form and, for each of its characters, the position in the token; then the length."""
     at = list(range(len(token) + 1))
     text = token
     if restored is not None:
         text, at = restored, sizes(restored, chain or "", len(token))
-    elif any(not unremarkable()[LANGS.index(lang) if lang in LANGS else len(LANGS), ord(c)] for c in token if c > "\x7f"):
-        known = native()[LANGS.index(lang) if lang in LANGS else len(LANGS)]
-        latin = lang in LATIN_EXTRA or lang not in LANGS
-        for name, reading in mojibake.readings(token, (lang,) if lang in LANGS else tuple(LANGS)).items():
-            if all(c < "\x80" or known[ord(c)] for c in reading) and (not latin or name.startswith("utf-8")):
-                text, at = reading, sizes(reading, name, len(token))
-                break
     if any(c in NO_WIDTH for c in text):
         kept = [i for i, c in enumerate(text) if c not in NO_WIDTH]
         text, at = "".join(text[i] for i in kept), [*(at[i] for i in kept), at[-1]]
@@ -286,10 +266,10 @@ def joined_marks(text: str, at: list[int]) -> tuple[str, list[int]]:
 TOKEN = re.compile(r"[^ \n]+|[ \n]+")
 
 
-def view(text: str, lang: str, repairs: dict[int, tuple[int, str, str]] | None = None) -> tuple[str, list[int]]:
+def view(text: str, lang: str, repairs: dict[str, tuple[str, str]] | None = None) -> tuple[str, list[int]]:
     """The plain form of a text and the stored position of each of its characters, and of its end.
 
-    repairs: by start, the end of a wrong stretch, what it was and the chain that spoilt it.
+    repairs: by wrong word, what it was and the chain that spoilt it.
     """
     if text.isascii():
         return text, list(range(len(text) + 1))
@@ -300,16 +280,15 @@ def view(text: str, lang: str, repairs: dict[int, tuple[int, str, str]] | None =
             out.append(token)
             at.extend(range(base, m.end()))
         else:
-            fix = repairs.get(base) if repairs else None
-            t, p = plain_token(token, lang, *fix[1:]) if fix and fix[0] == m.end() else plain_token(token, lang)
+            t, p = plain_token(token, lang, *(repairs.get(token, ()) if repairs else ()))
             out.append(t)
             at.extend(base + x for x in p[:-1])
     return "".join(out), [*at, len(text)]
 
 
-def repairs_of(rows) -> dict[int, tuple[int, str, str]] | None:
+def repairs_of(rows) -> dict[str, tuple[str, str]] | None:
     """The argument of view() from an Arrow cell of repairs."""
-    return {r["start_pos"]: (r["end_pos"], r["restored"], r["chain"]) for r in rows} if rows else None
+    return {r["text"]: (r["restored"], r["chain"]) for r in rows} if rows else None
 
 
 def sentence_ranges(text: str | None, lang: str | None, heading: bool = False, repairs: dict | None = None) -> list[tuple[int, int]]:

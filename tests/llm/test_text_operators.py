@@ -152,15 +152,23 @@ def test_repair(spark):
 
 def test_rare_chain_of_one_source(spark):
     """Weak evidence of many words adds up in a document, though the language hardly knows the chain."""
-    kind = "source string, lang string, text string, n long, base double, chains array<string>, texts array<string>, scores array<double>"
-    rows = [("odd", "fr", f"w{k}", 1, -3.0, ["a>b"], [f"r{k}"], [0.0]) for k in range(30)] + [(f"d{k}", "fr", "v", 1, -0.5, ["a>b"], ["u"], [0.0]) for k in range(40)]
+    kind = "source string, lang string, text string, n long, base double, chains array<string>, texts array<string>, scores array<double>, salt int"
+    rows = [("odd", "fr", f"w{k}", 1, -3.0, ["a>b"], [f"r{k}"], [0.0], k % J.SALTS) for k in range(30)] + [(f"d{k}", "fr", "v", 1, -0.5, ["a>b"], ["u"], [0.0], 0) for k in range(40)]
     types = spark.createDataFrame(rows, kind)
-    totals = spark.createDataFrame([("odd", "fr", 40), *((f"d{k}", "fr", 100) for k in range(40))], "source string, lang string, n long")
-    shares, prior = J.learn(types, totals, tables.checkpointed)
-    got = J.posteriors(types, shares, prior).select("source", "p").collect()
+    sizes = spark.createDataFrame([("odd", 40), *((f"d{k}", 100) for k in range(40))], "source string, source_n long")
+    shares = J.language_shares(types.groupBy("lang", "text", "base", "chains", "texts", "scores").agg(F.sum("n").alias("n")), {"fr": 4040})
+    prior = J.source_counts(types, shares, sizes, tables.checkpointed)
+    got = J.weighed(types, shares, prior).select("source", F.get("ps", F.lit(0)).alias("p")).collect()
     assert all((r.p > 0.5) == (r.source == "odd") for r in got)
 
 
+def test_lost_characters_are_found_by_their_posterior(spark):
+    rows = [("d", i, w, "fr") for i, w in enumerate(CLEAN["fr"] * 20)] + [("d", 1000, "compt\ufffd", "fr"), ("d", 1001, "\ufffd\ufffd", None), ("d", 1001, "\ufffd\ufffd", None)]
+    df = spark.createDataFrame(rows, "source string, no int, text string, lang string")
+    got = {r.no: (r.restored, r.chain) for r in J.repair(df, ["source", "no"], tables.checkpointed).collect()}
+    assert got == {1000: (None, J.LOSSY), 1001: (None, J.LOSSY)}
+
+
 def test_repair_of_nothing(spark):
     df = spark.createDataFrame([], "source string, no int, text string, lang string")
     assert J.repair(df, ["source", "no"], tables.checkpointed).count() == 0
