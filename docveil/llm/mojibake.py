@@ -16,7 +16,6 @@ source there is one small row, dealt over SALTS parts where its texts are.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import lru_cache
 
@@ -24,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from docveil.functions.arrays import let
 from docveil.llm.char_model import CharModel, count
 from docveil.llm.codepoints import flat
 from docveil.llm.consistent import plain
@@ -49,8 +49,8 @@ ALIKE = -3.0
 PRIOR, POOL, ROUNDS = 0.02, 1.0, 4
 #: Share of a chain that the language doesn't show, and parts that a source's texts are dealt over.
 UNSEEN, SALTS = 1e-5, 16
-#: EM of the sources ends when no chain's expected number of words in any source moves by more than this, or after so many rounds.
-SETTLED, SOURCE_ROUNDS = 0.25, 12
+#: EM of the sources ends when no chain's expected number of words in any source moves by more than this part of itself (and 0.05 words), or after so many rounds.
+SETTLED, SOURCE_ROUNDS = 0.05, 12
 
 
 @lru_cache(None)
@@ -204,21 +204,26 @@ def weighed(types: DataFrame, shares: dict[tuple[str, str], float], prior: DataF
     by_lang: dict[str, dict[str, float]] = {}
     for (lang, chain), v in shares.items():
         by_lang.setdefault(lang, {})[chain] = v
-    # one literal, whatever the number of chains
-    table = F.from_json(F.lit(json.dumps(by_lang)), "map<string,map<string,double>>")
-    rows = types.withColumn("usual", table[F.coalesce("lang", F.lit(""))])
+    # one row for each of the LANGS, each with no more chains than pairs of encodings
+    usual = types.sparkSession.createDataFrame(list(by_lang.items()), "usual_lang string, usual map<string,double>")
+    rows = types.join(F.broadcast(usual), F.coalesce("lang", F.lit("")) == F.col("usual_lang"), "left").drop("usual_lang")
     usual = lambda c: F.coalesce(F.col("usual")[c], F.lit(UNSEEN))
     if prior is None:
-        rows = rows.withColumn("share", F.transform("chains", usual))
+        share = F.transform("chains", usual)
     else:
         rows = rows.join(prior, ["source", "salt"], "left")
-        own = lambda c: (F.coalesce(F.col("counts")[c], F.lit(0.0)) + POOL * usual(c)) / (F.coalesce("source_n", F.lit(0)) + POOL)
-        rows = rows.withColumn("share", F.transform("chains", own))
+        share = F.transform("chains", lambda c: (F.coalesce(F.col("counts")[c], F.lit(0.0)) + POOL * usual(c)) / (F.coalesce("source_n", F.lit(0)) + POOL))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    rows = rows.withColumn("top", F.greatest("base", F.array_max("scores")))
-    rows = rows.withColumn("odds", F.zip_with("share", "scores", lambda a, s: a * F.exp(s - F.col("top"))))
-    right = F.greatest(1 - total(F.col("share")), F.lit(LEAST)) * F.exp(F.col("base") - F.col("top"))
-    return rows.withColumn("sum", total(F.col("odds")) + right).withColumn("ps", F.transform("odds", lambda o: o / F.col("sum"))).drop("usual", "share", "top", "odds", "sum")
+
+    def odds(x):
+        """Of the readings, and of the text being right."""
+        right = F.greatest(1 - total(x["share"]), F.lit(LEAST)) * F.exp(F.col("base") - x["top"])
+        return F.struct(F.zip_with(x["share"], F.col("scores"), lambda a, s: a * F.exp(s - x["top"])).alias("odds"), right.alias("right"))
+
+    every = let(F.struct(share.alias("share"), F.greatest("base", F.array_max("scores")).alias("top")), odds)
+    ps = let(every, lambda x: let(F.struct(x["odds"].alias("odds"), (total(x["odds"]) + x["right"]).alias("sum")), lambda y: F.transform(y["odds"], lambda o: o / y["sum"])))
+    # a generator keeps the optimizer from repeating the work wherever its result is used
+    return rows.withColumn("ps", F.explode(F.array(ps))).drop("usual")
 
 
 def language_shares(kinds: DataFrame, sizes: dict[str, int]) -> dict[tuple[str, str], float]:
@@ -240,7 +245,7 @@ def source_counts(types: DataFrame, shares: dict, sizes: DataFrame, checkpoint)
         last = F.lit(0.0) if prior is None else F.coalesce(F.col("counts")[F.col("one_reading.chains")], F.lit(0.0))
         moved = weighed(types, shares, prior).withColumn("one_reading", F.explode(F.arrays_zip("chains", "ps"))).select("source", F.col("one_reading.chains").alias("chain"), (F.col("one_reading.ps") * F.col("n")).alias("m"), last.alias("last"))
         mass = moved.groupBy("source", "chain").agg(F.sum("m").alias("m"), F.max("last").alias("last"))
-        one = mass.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "m"))).alias("counts"), F.max(F.abs(F.col("m") - F.col("last"))).alias("moved"))
+        one = mass.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "m"))).alias("counts"), F.max(F.abs(F.col("m") - F.col("last")) / (F.col("m") + 0.05)).alias("moved"))
         one = checkpoint(one.join(sizes, "source", "left"))
         most = one.agg(F.max("moved").alias("m")).first()["m"]
         prior = one.select("source", "counts", "source_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -284,7 +289,8 @@ def wrong_texts(cells: DataFrame, corpus: DataFrame, checkpoint) -> DataFrame:
     types = own.alias("c").join(readable.drop("n").alias("r"), same_text("c", "r", False)).groupBy("c.source", "c.lang", "c.text").agg(F.count("*").alias("n"))
     types = types.alias("c").join(readable.drop("n").alias("r"), same_text("c", "r", False)).select("c.*", "r.base", "r.chains", "r.texts", "r.scores")
     types = checkpoint(types.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")))
-    prior = source_counts(types, shares, corpus.groupBy("source").agg(F.count("*").alias("source_n")), checkpoint)
+    # the rounds need neither the texts nor their readings
+    prior = source_counts(types.drop("text", "texts"), shares, corpus.groupBy("source").agg(F.count("*").alias("source_n")), checkpoint)
     done = weighed(types, shares, prior).withColumn("posterior", F.aggregate("ps", F.lit(0.0), lambda a, v: a + v)).where("posterior > 0.5")
     best = (F.array_position("ps", F.array_max("ps")) - 1).cast("int")
     restored = F.when(F.get("chains", best) != LOSSY, F.get("texts", best))
