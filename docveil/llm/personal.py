@@ -35,6 +35,10 @@ FEW, FOLDS = 4, 4
 #: Languages written without capitals.
 UNCASED = ("ja", "zh", "th", "hi", "ar")
 TYPES = ["EMAIL", "PHONE", "ID", "ADDRESS", "NAME"]
+#: Bounds of candidate segments in characters, by type; only a mailbox has none. Words, groups and digits aren't counted.
+MOST = {"PHONE": 60, "ID": 60, "ADDRESS": 160, "NAME": 60}
+#: Of scripts without blanks every stretch is offered as a name, up to these bounds; longer ones only where a mark or title limits them.
+HAN_NAME, THAI_NAME = 10, 20
 # Label names of older finds.
 LABELS = {
     "EMAIL": "EMAIL", "PHONE": "PHONE", "TEL": "PHONE", "ID_NUM": "ID", "MISC": "ID", "ADR": "ADDRESS", "LOC": "ADDRESS", "I-LOC": "ADDRESS", "B-LOC": "ADDRESS",
@@ -73,7 +77,7 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
 
 
 def codes(text: str) -> set[tuple[int, int, int]]:
-    """Identity numbers that are mostly or partly letters: 6 or more letters and digits, one digit at least, in up to 10 parts.
+    """Identity numbers that are mostly or partly letters: 6 or more letters and digits, one digit at least.
 
     Small letters without a digit are a part only where no blank parts them from the rest.
     """
@@ -81,8 +85,10 @@ def codes(text: str) -> set[tuple[int, int, int]]:
     parts = [(m.start(), m.end(), any(c.isdigit() for c in m[0]), m[0].isupper()) for m in CODE.finditer(text)]
     for i, (a, *_) in enumerate(parts):
         size, digit = 0, False
-        for j in range(i, min(len(parts), i + 10)):
+        for j in range(i, len(parts)):
             start, b, number, upper = parts[j]
+            if j > i and b - a > MOST["ID"]:
+                break
             if j > i:
                 _, end, last_number, last_upper = parts[j - 1]
                 gap = text[end:start]
@@ -109,7 +115,7 @@ def han(text: str, lang: str) -> set[tuple[int, int, int]]:
         run = m[0]
         for i in range(len(run)):
             if "一" <= run[i] <= "鿿":
-                for n in range(2, min(7, len(run) - i) + 1):
+                for n in range(2, min(HAN_NAME, len(run) - i) + 1):
                     found.add((m.start() + i, m.start() + i + n, 4))
     for m in re.finditer(r"[ァ-ヴー]+(?:[・=＝·][ァ-ヴー]+)*|[一-鿿]+(?:[·・][一-鿿]+)+", text):
         found.add((m.start(), m.end(), 4))
@@ -120,7 +126,7 @@ def thai(text: str) -> set[tuple[int, int, int]]:
     """Addresses and names in Thai, where no blank parts words: they begin and end where a syllable may, or at the limits of runs and numbers."""
     found: set[tuple[int, int, int]] = set()
     for m in re.finditer(r"นางสาว|นาย|นาง|คุณ|โทรหา", text):
-        for n in range(2, 16):
+        for n in range(2, MOST["NAME"] + 1):
             e = m.end() + n
             if e > len(text) or not ("฀" <= text[e - 1] <= "๿"):
                 break
@@ -128,17 +134,19 @@ def thai(text: str) -> set[tuple[int, int, int]]:
     runs = [(m.start(), m.end(), [x.start() for x in THAI_START.finditer(text, m.start(), m.end())]) for m in THAI.finditer(text)]
     for k, (a, b, starts) in enumerate(runs):
         for s in starts:
-            found.update((s, e, 4) for e in (*starts, b) if 2 <= e - s <= 15)
-            if b - s <= 15 and k + 1 < len(runs) and text[b : runs[k + 1][0]] == " ":
+            found.update((s, e, 4) for e in (*starts, b) if 2 <= e - s <= THAI_NAME)
+            if b - s <= THAI_NAME and k + 1 < len(runs) and text[b : runs[k + 1][0]] == " ":
                 _, end, more = runs[k + 1]
-                found.update((s, e, 4) for e in (*more, end) if 2 <= e - b - 1 <= 15)
+                found.update((s, e, 4) for e in (*more, end) if 2 <= e - b - 1 <= THAI_NAME)
     # from a number or the run before it, to a number or the run behind it
     parts = [(m.start(), m.end(), m[0][0].isdigit()) for m in re.finditer(r"\d+(?:[/\-]\d+)*|" + THAI.pattern, text)]
     inner = {a: starts for a, _, starts in runs}
     for i, (a, b, number) in enumerate(parts):
         digit = False
-        for j in range(i, min(len(parts), i + 14)):
+        for j in range(i, len(parts)):
             s, e, last = parts[j]
+            if j > i and e - a > MOST["ADDRESS"]:
+                break
             if j > i and text[parts[j - 1][1] : s] not in ("", " ", ",", ", "):
                 break
             if digit or last:
@@ -167,9 +175,11 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
     for run in runs:
         for i in range(len(run)):
             digits = 0
-            for j in range(i, min(len(run), i + 10)):
+            for j in range(i, len(run)):
+                if j > i and run[j].end() - run[i].start() > MOST["PHONE"]:
+                    break
                 digits += sum(c.isdigit() for c in run[j][0])
-                if 6 <= digits <= 19:
+                if digits >= 6:
                     found.add((run[i].start(), run[j].end(), 1))
                 if digits and sum(c.isalnum() for part in run[i : j + 1] for c in part[0]) >= 6:
                     found.add((run[i].start(), run[j].end(), 2))
@@ -187,14 +197,16 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
         for i in range(n):
             if kinds[i] in "9x":
                 digit = False
-                for j in range(i, min(n, i + 20)):
+                for j in range(i, n):
+                    if j > i and toks[j][1] - toks[i][0] > MOST["ADDRESS"]:
+                        break
                     if kinds[j] in ("।", ".", "؟", "?", ":", "@", "(", ")"):
                         break
                     digit |= kinds[j] == "9"
                     if kinds[j] in "9x":
                         if digit and j > i:
                             found.add((toks[i][0], toks[j][1], 3))
-                        if j - i <= 4 and all(k == "x" for k in kinds[i : j + 1]):
+                        if not digit and toks[j][1] - toks[i][0] <= MOST["NAME"] // 2 and all(k == "x" for k in kinds[i : j + 1]):
                             found.add((toks[i][0], toks[j][1], 4))
     if lang in UNCASED:  # what is written in Latin letters there follows the rules below
         kinds = ["" if k == "x" and w.lower() == w.upper() else k for k, (_, _, w) in zip(kinds, toks)]
@@ -203,7 +215,7 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
         if kinds[i] and kinds[i] in "XI" or w.startswith(("O'", "D'", "d'")):
             length = 0
             j = i
-            while j < n and length < 6:
+            while j < n and (j == i or toks[j][1] - a <= MOST["NAME"]):
                 k, t = kinds[j], toks[j][2]
                 if k and k in "XI":
                     end = toks[j][1]
@@ -222,7 +234,9 @@ def candidates(text: str, lang: str) -> list[tuple[int, int, int]]:
         street = kinds[i] == "x" and i + 1 < n and len(w) <= 10
         if kinds[i] and kinds[i] in "9XI" or street:
             digit, letter, lower = False, False, 0
-            for j in range(i, min(n, i + 20)):
+            for j in range(i, n):
+                if j > i and toks[j][1] - a > MOST["ADDRESS"]:
+                    break
                 k, t = kinds[j], toks[j][2]
                 if k and k in "9XI":
                     lower = 0
@@ -285,13 +299,13 @@ def features(text: str, lang: str, cands: list[tuple[int, int, int]]) -> list[li
             f += [f"{t}s{shape(span)}", f"{g}s{sh}", f"{t}d{digits}", f"{g}d{digits}", f"{g}2{span[:2]}", f"{t}1{span[:1]}", f"{g}p{p1}{digits}", f"{t}r{p1}{sh[:2]}"]
         elif t == 3:
             sh = shape(span)
-            f += [f"{t}l{len(words)}", f"{g}l{min(len(words), 12)}", f"{g}f{(words[0] if not words[0].isdigit() else '9').lower()}" if words else "3f", f"{g}e{kind_of(span[-1])}{behind}{far}", f"{t}q{span.count(',')}", f"{g}k{re.sub(r'9+', '9', sh)[:40]}",
+            f += [f"{t}l{len(words)}", f"{g}l{min(len(words), 12)}", f"{g}f{(words[0] if not words[0].isdigit() else '9').lower()}" if words else "3f", f"{g}e{kind_of(span[-1])}{behind}{far}", f"{t}q{span.count(',')}", f"{g}k{re.sub(r'9+', '9', sh)}",
                   f"{g}z{'p' if re.search(r'(?<![0-9])[0-9]{5,6}(?![0-9])', span) else 'n'}{kind_of(span[-1])}", f"{g}L{words[-1].lower() if words and words[-1].isalpha() else '9'}"]
             f += [f"{t}i{w.lower()}" for w in set(words) if w.isalpha()]
             if lang in ("ja", "zh"):
                 f += [f"{g}a{span[:2]}", f"{g}y{span[-2:] if not span[-1].isdigit() else '99'}", f"{g}m{len(span) // 3}"]
         elif t == 4:
-            f += [f"{g}l{len(words)}", f"{t}s{shape(span)[:24]}", f"{g}k{shape(span)[:24]}"]
+            f += [f"{g}l{len(words)}", f"{t}s{shape(span)}", f"{g}k{shape(span)}"]
             f += [f"{t}i{w.lower()}" for w in words] + [f"{t}f{words[0].lower()}" if words else "4f", f"{t}e{words[-1].lower()}" if words else "4e"]
             f += [f"{t}j{p.lower()}" for w in words for p in (w.split("-") if "-" in w else ())]
             f += [f"{t}u{w[-3:].lower()}" for w in words if len(w) > 4]

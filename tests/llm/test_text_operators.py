@@ -318,3 +318,13 @@ def test_masking(spark):
     p = spark.createDataFrame([(1, "a😀 Jean, b"), (2, None), (3, "")], "id int, text string")
     f = spark.createDataFrame([(1, 3, 7, "NAME"), (1, 9, 10, "ID")], "id int, start_pos int, end_pos int, label string")
     assert {r.id: r.masked_text for r in P.masked(p, f, ["id"]).collect()} == {1: "a😀 [NAME], [ID]", 2: None, 3: ""}
+
+
+@pytest.mark.parametrize("text,lang,item,kind", [
+    ("Vu par Jean Marie Anne Luc Paul Roger Guy DUPONT hier", "fr", "Jean Marie Anne Luc Paul Roger Guy DUPONT", 4), ("山田太郎へ連絡", "ja", "山田太郎", 4), ("请联系王芳办理", "zh", "王芳", 4),
+    ("tél 01 23 45 67 89 01 23 45 67 89 01 23 fin", "fr", "01 23 45 67 89 01 23 45 67 89 01 23", 1), ("พบสมชาย ใจดีที่", "th", "สมชาย ใจดี", 4), ("อยู่ที่ 99/1 ถนนสุขุมวิท กรุงเทพ 10110", "th", "99/1 ถนนสุขุมวิท กรุงเทพ 10110", 3),
+    ("12 rue de la Paix bâtiment B escalier 4 porte 7 étage 3 appartement 31 75002 Paris CEDEX 02 France Europe", "fr", "12 rue de la Paix bâtiment B escalier 4 porte 7 étage 3 appartement 31 75002 Paris CEDEX 02 France Europe", 3),
+])
+def test_candidates_are_bounded_by_characters_alone(text, lang, item, kind):
+    at = text.index(item)
+    assert (at, at + len(item), kind) in P.candidates(text, lang)
