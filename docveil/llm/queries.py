@@ -141,6 +141,10 @@ def p8_found(spark, d):
     return shared_spans.shared_pairs(table(spark, d, "documents"))
 
 
+def p8_classes(spark, d):
+    return shared_spans.shared_classes(table(spark, d, "documents"))
+
+
 def p8_ranges(spark, d):
     return shared_spans.shared_ranges(table(spark, d, "documents"))
 
@@ -149,7 +153,7 @@ def p8_report(spark, d):
     return shared_spans.shared_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checked, p2_found, p2_repaired, p2_glyphs, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_ranges, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_checked, p2_found, p2_repaired, p2_glyphs, p3_found, p3_masked, p4_found, p4_words, p5_found, p6_ids, p7_mix, p7_report, p8_found, p8_classes, p8_ranges, p8_report)}
 
 _P1 = """
         WITH det AS (SELECT * FROM detectors WHERE max_seq_len IS NOT NULL),

@@ -90,3 +90,14 @@ def test_other_lengths(spark, n):
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 2 * n)))) for i in range(12)]
     pairs, _ = brute(rows, n)
     assert {tuple(r) for r in S.shared_pairs(frame(spark, rows), min_chars=n).collect()} == pairs
+
+
+def test_hot_passage_over_many_tasks(spark):
+    """Tasks that see a passage in several documents send two entries of it, others one; classes tell the same as pairs."""
+    rng = random.Random(5)
+    hot = "".join(rng.choice("abcdef") for _ in range(300))
+    rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(rng.randint(0, 60))) + hot) for i in range(60)] + [(1000, hot), (1001, "q" * 150)]
+    df = frame(spark, rows).repartition(7)
+    assert {tuple(r) for r in S.shared_pairs(df).collect()} == set(itertools.combinations([*range(60), 1000], 2))
+    members = S.shared_classes(df).collect()
+    assert {r.doc_id for r in members if r.representative == 0 and r.n_members == 61} == {*range(60), 1000}
