@@ -1,12 +1,10 @@
-"""Column expressions on words, labels, names of files and matrices."""
+"""Column expressions on words, labels and names of files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 BLOCK = "█"
-# ASCII punctuation.
-PUNCTUATION = r"""!-/:-@\[-`{-~"""
 
 
 def masked_word(word: Column) -> Column:
@@ -24,47 +22,11 @@ def hit(start: Column, end: Column, spans: Column) -> Column:
     return F.coalesce(F.exists(spans, lambda s: overlaps(start, end, s["start_pos"], s["end_pos"])), F.lit(False))
 
 
-def bio_prefix(label: Column) -> Column:
-    """B or I of labels like B-PER and I_PER, else B; the first hyphen counts, then the first underscore."""
-    return F.when(F.regexp_extract(label, r"^([BI])-", 1) != "", F.regexp_extract(label, r"^([BI])-", 1)).when(F.regexp_extract(label, r"^([BI])_", 1) != "", F.regexp_extract(label, r"^([BI])_", 1)).otherwise(F.lit("B"))
-
-
 def bio_tag(label: Column) -> Column:
     """The label without its B- or I- prefix."""
     return F.regexp_replace(label, "^[BI][-_]", "")
 
 
-def argmax_last(values: Column) -> Column:
-    """0-based place of the greatest value, the last of equal ones; null for null or empty arrays."""
-    return F.when(F.size(values) > 0, F.size(values) - F.array_position(F.reverse(values), F.array_max(values)).cast("int"))
-
-
-def confidence(values: Column) -> Column:
-    """Softmax of the greatest value, as a double."""
-    top = F.array_max(values).cast("double")
-    return F.lit(1.0) / F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-
-
-def trimmed_span(text: Column, start: Column, end: Column) -> Column:
-    """struct<start_pos,end_pos>: white space trimmed on both sides, then ASCII punctuation behind, then before."""
-    own = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
-    lead = F.char_length(F.regexp_extract(own, r"(?U)^\s*", 0))
-    inner = F.regexp_replace(own, r"(?U)^\s+|\s+$", "")
-    no_tail = F.regexp_replace(inner, f"[{PUNCTUATION}]+$", "")
-    no_head = F.regexp_replace(no_tail, f"^[{PUNCTUATION}]+", "")
-    first = start + lead + F.char_length(no_tail) - F.char_length(no_head)
-    return F.struct(first.cast("int").alias("start_pos"), (first + F.char_length(no_head)).cast("int").alias("end_pos"))
-
-
-def product(m: Column, n: Column) -> Column:
-    """Product of two affine matrices (arrays a, b, c, d, e, f) for row vectors: first m, then n."""
-    e = lambda x, i: F.get(x, F.lit(i))
-    return F.array(
-        e(m, 0) * e(n, 0) + e(m, 1) * e(n, 2), e(m, 0) * e(n, 1) + e(m, 1) * e(n, 3), e(m, 2) * e(n, 0) + e(m, 3) * e(n, 2), e(m, 2) * e(n, 1) + e(m, 3) * e(n, 3),
-        e(m, 4) * e(n, 0) + e(m, 5) * e(n, 2) + e(n, 4), e(m, 4) * e(n, 1) + e(m, 5) * e(n, 3) + e(n, 5),
-    )
-
-
 def output_path(path: Column) -> Column:
     """`<dir>/<stem>.anon.pdf` of a file."""
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".anon.pdf"))

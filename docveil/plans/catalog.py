@@ -6,13 +6,15 @@ entry in ORACLE; they are tested against brute force or goldens.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docveil.functions import patterns
-from docveil.functions.text import argmax_last, bio_prefix, bio_tag, confidence, hit, masked_word, output_path, product, stem, trimmed_span
+from docveil.functions.text import bio_tag, hit, masked_word, output_path, stem
 from docveil.operators import layout, markdown, ner, redaction
-from docveil.plans import pipeline
-from docveil.sources import listing, pdf
+from docveil.plans import made_files, pipeline
+from docveil.sources import listing
 
 PARA = ["doc", "para_no"]
 WORD = ["doc", "page_no", "word_no"]
@@ -35,7 +37,10 @@ def words_of(spark, d) -> DataFrame:
 
 
 def paragraphs_of(spark, d) -> DataFrame:
-    return table(spark, d, "paragraphs").dropDuplicates(PARA)
+    """Of each paragraph the row loaded last; ties by the greatest values."""
+    held = ["loaded_at", "text", "is_heading", "page_no", "lang", "detector_id"]
+    last = table(spark, d, "paragraphs").where("doc is not null and para_no is not null").groupBy(*PARA).agg(F.max(F.struct(*held)).alias("last"))
+    return last.select(*PARA, *[f"last.{c}" for c in held])
 
 
 def spans_of(spark, d) -> DataFrame:
@@ -122,6 +127,19 @@ def masked_documents(spark, d):
     return pipeline.masked_texts(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
 
 
+def _ascii(text):
+    """Characters beyond ASCII as a letter: SQL's expressions know word boundaries in ASCII alone."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", "x")
+
+
+def masked_ascii_documents(spark, d):
+    return pipeline.masked_texts(spread(table(spark, d, "documents").select("doc_id", _ascii(F.col("text")).alias("text"))), ["doc_id"])
+
+
+def ascii_paragraph_spans(spark, d):
+    return redaction.regex_spans(paragraphs_of(spark, d).select(*PARA, _ascii(F.col("text")).alias("text")), PARA)
+
+
 def masked_orders(spark, d):
     return pipeline.masked_texts(calls(spark, d), ["o_orderkey"])
 
@@ -211,9 +229,44 @@ def output_paths(spark, d):
     return table(spark, d, "files").where("path is not null").select("path").distinct().select("path", output_path(F.col("path")).alias("output"), stem(F.col("path")).alias("name"))
 
 
-def pdf_letters(spark, d):
-    """Letters, or what is wrong with it, of every listed file; the table holds first bytes only, so every file is found to be cut off."""
-    return pdf.letters(table(spark, d, "files").where("path is not null").select("path", "content").distinct()).select("doc", "page_no", "seq", "value", "error")
+def pdf_plain_letters(spark, d):
+    return made_files.plain_letters(words_of(spark, d))
+
+
+def pdf_matrix_letters(spark, d):
+    return made_files.matrix_letters(words_of(spark, d))
+
+
+def pdf_spaced_letters(spark, d):
+    return made_files.spaced_letters(words_of(spark, d))
+
+
+def pdf_composite_letters(spark, d):
+    return made_files.composite_letters(words_of(spark, d))
+
+
+def pdf_redacted_letters(spark, d):
+    return made_files.redacted_letters(words_of(spark, d))
+
+
+def pdf_redaction_boxes(spark, d):
+    return made_files.redaction_boxes(words_of(spark, d))
+
+
+def pdf_face_marks(spark, d):
+    return made_files.face_marks(table(spark, d, "customer"))
+
+
+def pdf_purged_images(spark, d):
+    return made_files.purged_images(table(spark, d, "customer"))
+
+
+def ner_entities(spark, d):
+    return made_files.entities(mails(spark, d), ["c_custkey"])
+
+
+def ner_windows(spark, d):
+    return made_files.long_entities(mails(spark, d), ["c_custkey"])
 
 
 def decoder_glyphs(spark, d):
@@ -232,28 +285,39 @@ def decoded_letters(spark, d):
     )
 
 
-def affine_positions(spark, d):
-    letters = table(spark, d, "letters").dropDuplicates(["doc", "page_no", "seq"])
-    one, zero = F.lit(1.0), F.lit(0.0)
-    text = F.array(one, zero, zero, one, F.col("bbox.x"), F.col("baseline_y"))
-    page = F.array(F.lit(0.5), zero, zero, F.lit(2.0), F.lit(10.0), F.lit(-20.0))
-    return letters.select("doc", "page_no", "seq", product(text, page).alias("m")).select("doc", "page_no", "seq", *[F.get("m", F.lit(i)).alias(n) for i, n in enumerate("abcdef")])
+def softmax_argmax(spark, d):
+    """The classifier's own choice and confidence, each vector being the logits of a token."""
 
+    def run(batches):
+        for batch in batches:
+            rows = [ner.predictions(np.asarray([x], np.float32)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(c[0]) for c, _ in rows], pa.int32()), pa.array([float(p[0]) for _, p in rows], pa.float64())], names=["vec_id", "class", "confidence"])
 
-def softmax_argmax(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", argmax_last(F.col("embedding")).alias("class"), F.round(confidence(F.col("embedding")), 6).alias("confidence"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return e.mapInArrow(run, "vec_id long, class int, confidence double").withColumn("confidence", F.round("confidence", 5))
 
 
 def bio_split(spark, d):
-    s = spans_of(spark, d).where("label is not null")
-    return s.select("span_id", bio_prefix(F.col("label")).alias("prefix"), bio_tag(F.col("label")).alias("tag"))
+    """Prefix and tag of labels as the decoder takes them."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [ner.bio(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in parts], pa.string()), pa.array([t for _, t in parts], pa.string())], names=["span_id", "prefix", "tag"])
+
+    return spans_of(spark, d).where("label is not null").select("span_id", "label").mapInArrow(run, "span_id long, prefix string, tag string")
 
 
 def trimmed_spans(spark, d):
-    p = paragraphs_of(spark, d).select(*PARA, "text")
-    rows = spans_of(spark, d).where("start_pos is not null and end_pos is not null").join(p, PARA)
-    return rows.select("span_id", trimmed_span(F.col("text"), F.col("start_pos"), F.col("end_pos")).alias("t")).select("span_id", "t.*")
+    """Spans as the decoder trims them."""
+
+    def run(batches):
+        for batch in batches:
+            ends = [ner.trimmed(*r) for r in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32())], names=["span_id", "start_pos", "end_pos"])
+
+    rows = spans_of(spark, d).where("start_pos is not null and end_pos is not null and start_pos < end_pos").join(paragraphs_of(spark, d).select(*PARA, "text"), PARA)
+    return rows.where(F.col("start_pos") < F.char_length("text")).select("span_id", "text", "start_pos", "end_pos").mapInArrow(run, "span_id long, start_pos int, end_pos int")
 
 
 def merged_spans(spark, d):
@@ -278,9 +342,10 @@ def masked_words(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        email_spans, phone_spans, date_spans, url_spans, person_spans, all_spans, paragraph_spans, spans_by_lang, masked_documents, masked_orders, word_targets, redaction_targets,
+        email_spans, phone_spans, date_spans, url_spans, person_spans, all_spans, paragraph_spans, ascii_paragraph_spans, spans_by_lang, masked_documents, masked_ascii_documents, masked_orders, word_targets, redaction_targets,
         redaction_counts, covered_ranges, masked_words, first_pass_words, second_pass_words, global_font, greedy_blocks, layout_paragraphs, layout_words, word_ranges, paragraph_texts,
-        paragraph_segmentation, heading_blocks, page_breaks, markdown_export, pending_files, output_paths, pdf_letters, decoder_glyphs, decoded_letters, affine_positions, softmax_argmax, bio_split,
+        paragraph_segmentation, heading_blocks, page_breaks, markdown_export, pending_files, output_paths, pdf_plain_letters, pdf_matrix_letters, pdf_spaced_letters, pdf_composite_letters, pdf_redacted_letters,
+        pdf_redaction_boxes, pdf_face_marks, pdf_purged_images, ner_entities, ner_windows, decoder_glyphs, decoded_letters, softmax_argmax, bio_split,
         trimmed_spans, merged_spans,
     )
 }
@@ -291,10 +356,10 @@ _DATE = r"\b\d{2}[/-]\d{2}[/-]\d{4}\b"
 _URL = r"(?:(?:https?:)?//)?(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*"
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 _WORDS = "(SELECT DISTINCT ON (doc, page_no, word_no) * FROM words)"
-_PARAS = "(SELECT DISTINCT ON (doc, para_no) * FROM paragraphs)"
+_PARAS = "(SELECT DISTINCT ON (doc, para_no) * FROM paragraphs ORDER BY doc, para_no, loaded_at DESC NULLS LAST, text DESC NULLS LAST, is_heading DESC NULLS LAST, page_no DESC NULLS LAST, lang DESC NULLS LAST, detector_id DESC NULLS LAST)"
 _SPANS = "(SELECT DISTINCT ON (span_id) * FROM spans)"
 _COVERED = "EXISTS (SELECT 1 FROM {s} s WHERE s.doc = w.doc AND s.para_no = w.para_no AND greatest(s.start_pos, w.start_pos) < least(s.end_pos, w.end_pos){more})"
-_SHOWN = r"(SELECT DISTINCT ON (doc, page_no, seq) * FROM letters WHERE value IS NOT NULL AND NOT regexp_full_match(value, '[\s\x{85}\p{Z}]*'))"
+_VISIBLE = r"(SELECT DISTINCT ON (doc, page_no, seq) * FROM letters WHERE value IS NOT NULL AND NOT regexp_full_match(value, '[\s\x{85}\p{Z}]*'))"
 
 
 def _new(order: str) -> str:
@@ -304,7 +369,7 @@ def _new(order: str) -> str:
 
 
 _PASS1 = f"""
-    l1 AS (SELECT *, row_number() OVER (PARTITION BY doc, page_no ORDER BY baseline_y DESC, seq) AS ord1, {_new('baseline_y DESC, seq')} AS new1 FROM {_SHOWN}),
+    l1 AS (SELECT *, row_number() OVER (PARTITION BY doc, page_no ORDER BY baseline_y DESC, seq) AS ord1, {_new('baseline_y DESC, seq')} AS new1 FROM {_VISIBLE}),
     m1 AS (SELECT *, sum(new1) OVER (PARTITION BY doc, page_no ORDER BY ord1) AS word1 FROM l1),
     w1 AS (SELECT doc, page_no, word1, string_agg(value, '' ORDER BY bbox.x, ord1) AS text, min(bbox.x) AS x,
                   arg_min(font_size, (bbox.x, ord1)) AS font_size, arg_min(baseline_y, (bbox.x, ord1)) AS baseline_y FROM m1 GROUP BY ALL)
@@ -398,20 +463,16 @@ ORACLE: dict[str, str] = {
         SELECT l.doc, l.font_no, count(*) AS n_letters, round(sum(font_size * height_ratio), 4) AS ink_height, round(min(baseline_y + font_size * y_offset_ratio), 4) AS lowest
         FROM (SELECT DISTINCT ON (doc, page_no, seq) * FROM letters) l JOIN (SELECT DISTINCT ON (doc, font_no) * FROM font_decoders) f ON l.doc = f.doc AND l.font_no = f.font_no GROUP BY l.doc, l.font_no
     """,
-    "affine_positions": """
-        SELECT doc, page_no, seq, CAST(0.5 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, CAST(2 AS DOUBLE) AS d, bbox.x * CAST(0.5 AS DOUBLE) + baseline_y * 0 + 10 AS e, bbox.x * 0 + baseline_y * 2 + -20 AS f
-        FROM (SELECT DISTINCT ON (doc, page_no, seq) * FROM letters)
-    """,
     "softmax_argmax": """
         SELECT vec_id, CAST(len(embedding) - list_position(list_reverse(embedding), list_max(embedding)) AS INT) AS class,
-               round(1 / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 6) AS confidence FROM embeddings
+               round(1 / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE)))), 5) AS confidence FROM embeddings
     """,
     "bio_split": f"""
         SELECT span_id, CASE WHEN regexp_matches(label, '^[BI][-_]') THEN label[1:1] ELSE 'B' END AS prefix, regexp_replace(label, '^[BI][-_]', '') AS tag FROM {_SPANS} WHERE label IS NOT NULL
     """,
     "trimmed_spans": rf"""
         WITH o AS (SELECT span_id, start_pos, substring(text, start_pos + 1, greatest(end_pos - start_pos, 0)) AS own FROM {_SPANS} s JOIN {_PARAS} p ON s.doc = p.doc AND s.para_no = p.para_no
-                   WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL),
+                   WHERE start_pos < end_pos AND start_pos < length(text)),
         t AS (SELECT *, length(regexp_extract(own, '^[\s\x{{85}}\p{{Z}}]*')) AS lead, regexp_replace({_TRIM.format('own')}, '[!-/:-@\[-`{{-~]+$', '') AS tail FROM o),
         u AS (SELECT *, regexp_replace(tail, '^[!-/:-@\[-`{{-~]+', '') AS head FROM t)
         SELECT span_id, CAST(start_pos + lead + length(tail) - length(head) AS INT) AS start_pos, CAST(start_pos + lead + length(tail) AS INT) AS end_pos FROM u
@@ -427,4 +488,71 @@ ORACLE: dict[str, str] = {
         FROM i GROUP BY doc, para_no, island, label
     """,
 }
+# What the made files must show. A letter of a word stands behind the widths of those before it that show.
+_LETTERS = r"""
+    w AS (SELECT doc || '/' || page_no AS file, page_no AS page, word_no, bbox.x AS x0, baseline_y, font_size, text, row_number() OVER (PARTITION BY doc, page_no ORDER BY word_no) - 1 AS place FROM {words} WHERE {where}),
+    c AS (SELECT *, substring(text, CAST(i AS BIGINT), 1) AS ch, unicode(substring(text, CAST(i AS BIGINT), 1)) AS u FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM w)),
+    v AS (SELECT *, {width} AS em FROM c WHERE NOT (u < 32 OR u BETWEEN 127 AND 159 OR u IN (8203, 65279))),
+    p AS (SELECT *, x0 + coalesce(sum(em * font_size) OVER (PARTITION BY file, word_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM v)
+"""
+_PLAIN = _LETTERS.format(words=_WORDS, where="text <> ''", width=r"CASE WHEN regexp_full_match(text, '[\x{20}-\x{FF}]*') THEN (300 + u % 200) / 1000.0 ELSE 0.45 END")
+_SHOWN = """file, CAST(1 AS INT) AS page_no, {seq} ch AS value, round(x, 4) AS x, round(baseline_y + font_size * {low}, 4) AS y, round(font_size * em, 4) AS width, round(font_size * {high}, 4) AS height,
+    round(font_size, 4) AS font_size, round(baseline_y, 4) AS baseline_y, CAST(NULL AS VARCHAR) AS error"""
+_SEQ = "CAST(row_number() OVER (PARTITION BY file ORDER BY word_no, i) - 1 AS INT) AS seq,"
+_SIZED = "(SELECT doc || '/' || page_no AS file, page_no AS page, word_no, bbox.x AS x0, baseline_y AS y0, font_size FROM " + _WORDS + ")"
+ORACLE |= {
+    "pdf_plain_letters": f"WITH {_PLAIN} SELECT {_SHOWN.format(seq=_SEQ, low=-0.2, high=0.9)} FROM p",
+    "pdf_redacted_letters": f"WITH {_PLAIN} SELECT {_SHOWN.format(seq='', low=-0.2, high=0.9)} FROM p WHERE place % 3 <> 0",
+    "pdf_redaction_boxes": f"""
+        WITH {_PLAIN} SELECT file, round(min(x) - 1, 4) AS x, round(any_value(baseline_y + font_size * -0.2) - 1, 4) AS y, round(max(x + font_size * em) - min(x) + 2, 4) AS width, round(any_value(font_size) * 0.9 + 2, 4) AS height,
+               CAST(1 AS DOUBLE) AS fill, CAST(0 AS DOUBLE) AS line, CAST(1 AS DOUBLE) AS line_width FROM p WHERE place % 3 = 0 GROUP BY file, word_no
+    """,
+    "pdf_matrix_letters": f"""
+        WITH p AS (SELECT file, word_no, unnest([0, 1]) AS i, 0.5 + word_no % 4 * 0.5 AS a, 1.0 + page % 3 AS d, x0, y0, font_size FROM {_SIZED}),
+        q AS (SELECT *, CASE i WHEN 0 THEN 'A' ELSE 'B' END AS ch, a * x0 + 7 AS x, d * (y0 - i * font_size) - 3 AS baseline_y, (300 + (65 + i) % 200) / 1000.0 AS em FROM p)
+        SELECT {_SHOWN.format(seq=_SEQ, low=-0.2, high=0.9)} FROM q
+    """,
+    "pdf_spaced_letters": f"""
+        WITH p AS (SELECT file, word_no, unnest(range(0, 5)) AS i, word_no % 9 * 100 - 300 AS kern, x0, y0, font_size FROM {_SIZED}),
+        q AS (SELECT *, chr(CAST(65 + i AS INT)) AS ch, (300 + (65 + i) % 200) / 1000.0 AS em, y0 AS baseline_y,
+                     x0 + font_size * (list_sum(list_transform(range(0, i), lambda k: (300 + (65 + k) % 200) / 1000.0)) - CASE WHEN i > 0 THEN kern / 1000.0 ELSE 0 END + CASE WHEN i > 1 THEN 0.2505 ELSE 0 END) AS x1 FROM p),
+        r AS (SELECT *, coalesce(x1, x0) AS x FROM q)
+        SELECT {_SHOWN.format(seq=_SEQ, low=-0.2, high=0.9)} FROM r
+    """,
+    "pdf_composite_letters": f"""
+        WITH {_LETTERS.format(words=_WORDS, where="regexp_full_match(text, '[!-~]+')", width="(400 + 5 * (u - 32)) / 1000.0")},
+        q AS (SELECT * REPLACE (CASE WHEN page % 2 = 0 THEN chr(CAST(945 + u - 33 AS INT)) ELSE ch END AS ch) FROM p)
+        SELECT {_SHOWN.format(seq=_SEQ, low=-0.095, high=0.69)} FROM q
+    """,
+    "pdf_face_marks": """
+        SELECT c_custkey, CAST(3 + k AS INT) AS obj_id, ((CASE k WHEN 0 THEN c_custkey % 256 ELSE 255 - c_custkey % 256 END - 127) / 128.0 + 1) / 2 > 0.7 AS has_face, CAST(NULL AS VARCHAR) AS error
+        FROM (SELECT c_custkey, unnest([0, 1]) AS k FROM customer)
+    """,
+    "pdf_purged_images": """
+        SELECT c_custkey, count(*) AS n_images, CAST(sum(CASE WHEN ((g - 127) / 128.0 + 1) / 2 > 0.7 THEN 0 ELSE 12 END) AS BIGINT) AS n_bytes
+        FROM (SELECT c_custkey, unnest([c_custkey % 256, 255 - c_custkey % 256]) AS g FROM customer) GROUP BY c_custkey
+    """,
+}
+_ENTITIES = f"""
+    e AS (SELECT c_custkey, text, unnest([regexp_extract(text, 'Jean [A-Z]+'), regexp_extract(text, '[a-z.0-9]+@[a-z]+\\.example'), regexp_extract(text, 'Customer#[0-9]+@x'), regexp_extract(text, 'http.*$')]) AS found FROM {MAILS})
+""".replace("\\\\", "\\")
+ORACLE |= {
+    "ner_entities": f"""
+        WITH {_ENTITIES} SELECT c_custkey, CAST(strpos(text, found) - 1 AS INT) AS start_pos, CAST(strpos(text, found) - 1 + length(found) AS INT) AS end_pos, 'PER' AS label,
+               round(CAST(exp(CAST(2 AS DOUBLE)) / (exp(CAST(2 AS DOUBLE)) + 3) AS DOUBLE), 4) AS score, CAST(NULL AS VARCHAR) AS error FROM e
+    """,
+    "ner_windows": f"SELECT c_custkey, true AS all_found, CAST({made_files.LONG} * (length(text) + 1) - 1 AS INT) AS last_end, CAST(2 AS INT) AS first_start FROM {MAILS}",
+}
+_FIVE = (("NOM_PERSONNE", _NAME.replace("''", "'"), "", r"^[#\s]*"), ("EMAIL", _EMAIL, "i", ""), ("PHONE", _PHONE, "", ""), ("DATE", _DATE, "", ""), ("URL", _URL, "i", ""))
+_ASCII = r"regexp_replace(text, '[^\x{00}-\x{7F}]', 'x', 'g') AS text"
+_ASCII_DOCS = f"(SELECT doc_id, {_ASCII} FROM documents)"
+ORACLE["ascii_paragraph_spans"] = " UNION ALL ".join(f"SELECT doc, para_no, start_pos, end_pos, '{label}' AS label, 'regex' AS engine FROM ({spans_sql(f'(SELECT doc, para_no, {_ASCII} FROM {_PARAS})', 'doc, para_no', p, f, lead)})" for label, p, f, lead in _FIVE)
+ORACLE["masked_ascii_documents"] = f"""
+    WITH t AS (SELECT doc_id, text, string_split(text, ' ') AS ws FROM {_ASCII_DOCS}),
+    w AS (SELECT doc_id, i, ws[i] AS w, CAST(coalesce(list_sum(list_transform(ws[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+    s AS ({' UNION ALL '.join(f'SELECT * FROM ({spans_sql(_ASCII_DOCS, "doc_id", p, f, lead)})' for _, p, f, lead in _FIVE)}),
+    h AS (SELECT w.doc_id, w.i, w.w, EXISTS (SELECT 1 FROM s WHERE s.doc_id = w.doc_id AND greatest(s.start_pos, w.a) < least(s.end_pos, w.a + length(w.w))) AS hit FROM w),
+    m AS (SELECT doc_id, string_agg(CASE WHEN hit THEN {_MASK.format('w')} ELSE w END, ' ' ORDER BY i) AS masked_text, count(*) FILTER (hit) AS n_masked FROM h GROUP BY doc_id)
+    SELECT d.doc_id, masked_text, coalesce(n_masked, 0) AS n_masked, (SELECT count(*) FROM s WHERE s.doc_id = d.doc_id) AS n_spans FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
+"""
 ORACLE["redaction_counts"] = f"SELECT doc, engine, count(*) AS n_words FROM ({ORACLE['redaction_targets']}) GROUP BY doc, engine"
