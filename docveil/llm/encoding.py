@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docveil.llm.codepoints import flat, groups, ragged
 from docveil.llm.lexicon import Lexicon
 from docveil.llm.window_hash import WindowHash
+from docveil.plans.lineage import shared_folder
 
 TOKENIZERS = os.environ.get("DOCVEIL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
@@ -111,12 +112,10 @@ def vocabulary_words(path: str) -> dict[str, list[int]]:
     return {w: i for (w, i), one in zip(words.items(), whole) if one}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, where the session names one on a file system; else a temporary one (local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and (named.startswith("file:") or "://" not in named):
-        return named.removeprefix("file://").removeprefix("file:")
-    return tempfile.gettempdir()
+def build_folder(spark: SparkSession) -> str:
+    """Where the driver writes the lexicon before addFile() hands it to the executors: in the shared folder if the driver can write there as in a file system, else beside the driver alone."""
+    named = shared_folder(spark)
+    return named.removeprefix("file://").removeprefix("file:") if named.startswith("file:") or "://" not in named else tempfile.mkdtemp(prefix="docveil-")
 
 
 _shipped: dict[tuple, str] = {}
@@ -127,12 +126,28 @@ def ship_lexicon(spark: SparkSession, path: str, extra: dict[str, list[int]] | N
     key = (spark.sparkContext.applicationId, path, None if extra is None else tuple(sorted(extra)))
     if key not in _shipped:
         entries = vocabulary_words(path) | (extra or {})
-        file = Lexicon.of(entries).save(os.path.join(shared_folder(spark), "docveil"))
+        file = Lexicon.of(entries).save(os.path.join(build_folder(spark), "docveil"))
         spark.sparkContext.addFile(file)
         _shipped[key] = os.path.basename(file)
     return _shipped[key]
 
 
+def equal_pieces(cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each set of equal pieces, and for every piece which one; a piece that only has another's hash stands for itself."""
+    _, first, back = np.unique(WindowHash(cp).at(starts, sizes), return_index=True, return_inverse=True)
+    model = first[back]
+    other = sizes != sizes[model]
+    inside, offset = ragged(sizes), np.repeat(np.where(other, 0, starts[model] - starts), sizes)
+    own = np.repeat(starts, sizes) + inside
+    differs = np.add.reduceat(cp[own] != cp[own + offset], np.cumsum(sizes) - sizes) > 0
+    alone = np.flatnonzero(other | differs)
+    if len(alone):
+        back = back.copy()
+        back[alone] = len(first) + np.arange(len(alone))
+        first = np.concatenate([first, alone])
+    return first, back
+
+
 class Encoder:
     """Encodes batches; one for each worker and lexicon."""
 
@@ -145,7 +160,7 @@ class Encoder:
         if ids is None:
             if len(self.memory) >= REMEMBER:
                 self.memory.clear()
-            ids = self.memory[word] = merger(self.path)._encode_single_piece(word.encode("utf-8", "replace")) if len(word) < 4096 else merger(self.path).encode_ordinary(word)
+            ids = self.memory[word] = merger(self.path).encode_ordinary(word)
         return ids
 
     def distinct(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +195,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         sizes = np.diff(np.append(starts, len(cp)))
-        key = WindowHash(cp).at(starts, sizes)
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        first, back = equal_pieces(cp, starts, sizes)
         ids, at = self.distinct(cp, starts[first], sizes[first])
         lens = np.diff(at)[back]
         out = ids[np.repeat(at[:-1][back], lens) + ragged(lens)]
@@ -194,7 +208,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64)
         sizes = np.diff(np.append(starts, len(cp)))
-        _, first, back = np.unique(WindowHash(cp).at(starts, sizes), return_index=True, return_inverse=True)
+        first, back = equal_pieces(cp, starts, sizes)
         _, at = self.distinct(cp, starts[first], sizes[first])
         total = np.concatenate([[0], np.cumsum(np.diff(at)[back])])
         return np.diff(total[np.searchsorted(starts, offsets, "left")])

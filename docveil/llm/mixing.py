@@ -4,9 +4,10 @@ A source that is to give e copies of itself gives every document floor(e) whole
 certain. The rest is a sample of fixed size: a document with uniform random number u and
 inclusion probability p has rank (u / (1 - u)) / (p / (1 - p)), and those of least rank are
 taken. Inclusion probabilities of the rest differ from source to source, and inside a
-source with the size of a document: p = f * (1 - (1 - f) * s / S) balances large documents,
-whose last copy may overshoot, against small ones (f: fraction of a copy that is left; s: the
-document's size; S: the largest). The sample ends where the sizes taken come nearest to the
+source with the size of a document: p = f * (1 + (1 - f) * (m - s) / S) prefers small
+documents to large ones, whose last copy may overshoot (f: fraction of a copy that is left;
+s: the document's size; S: the largest; m: the mean size weighted by size). p lies between
+0 and 1, and the expected sizes, the sums of p * s, add up to the rest. The sample ends where the sizes taken come nearest to the
 rest. Random numbers are hashes of the document's id and the seed, so that lost tasks give the same mix.
 
 The cut-off of a source is found by histograms of ranks, twice refined, and a running sum
@@ -64,15 +65,15 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col
     names = [s for s, _, _ in wanted]
     docs = sized.where(F.col(id_col).isNotNull() & F.col(source_col).isin(names) & (F.col(size_col) > 0)).select(id_col, source_col, F.col(size_col).cast("long").alias(size_col))
     docs = docs.groupBy(id_col).agg(F.max(F.struct(source_col, size_col)).alias("one")).select(id_col, "one.*")
-    sums = {r[source_col]: (r["size"], r["largest"]) for r in docs.groupBy(source_col).agg(F.sum(size_col).alias("size"), F.max(size_col).alias("largest")).collect()}
-    total = sum(s for s, _ in sums.values())
+    sums = {r[source_col]: (r["size"], r["largest"], r["squares"]) for r in docs.groupBy(source_col).agg(F.sum(size_col).alias("size"), F.max(size_col).alias("largest"), F.sum(F.col(size_col).cast("double") * F.col(size_col)).alias("squares")).collect()}
+    total = sum(v[0] for v in sums.values())
     give = allocation({s: v[0] for s, v in sums.items()}, wanted, total)
     plan = {}
     for s in names:
-        own, largest = sums.get(s, (0, 1))
+        own, largest, squares = sums.get(s, (0, 1, 0.0))
         whole = int(give[s] // own) if own else 0
         rest = give[s] - whole * own
-        plan[s] = (whole, rest, rest / own if own else 0.0, largest)
+        plan[s] = (whole, rest, rest / own if own else 0.0, largest, squares / own if own else 0.0)
 
     def of(k: int) -> Column:
         """A value of the plan by source: a literal map over the listed sources."""
@@ -81,7 +82,7 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col
         return F.create_map(*[F.lit(x) for s, v in plan.items() for x in (s, float(v[k]))])[F.col(source_col)]
 
     f = of(2)
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), f * (1 - (1 - f) * F.col(size_col) / of(3))))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), f * (1 + (1 - f) * (of(4) - F.col(size_col)) / of(3))))
     u = uniform(id_col, seed)
     odds = (u / (1 - u)) / (p / (1 - p))
     # the rank on a scale from 0 to 1 that keeps its order, for bins
@@ -127,7 +128,7 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col
     got = copies.groupBy(source_col).agg(F.sum(F.col(size_col) * F.col("copies")).alias("actual_size"), F.count("*").alias("documents"), F.sum("copies").alias("copies"))
     spark = sized.sparkSession
     listed = spark.createDataFrame(
-        [(s, float(t or 0), int(m or 0), int(sums.get(s, (0, 0))[0]), float(give[s])) for s, t, m in wanted], f"`{source_col}` string, target_share double, max_repeats int, available long, allotted double"
+        [(s, float(t or 0), int(m or 0), int(sums.get(s, (0,))[0]), float(give[s])) for s, t, m in wanted], f"`{source_col}` string, target_share double, max_repeats int, available long, allotted double"
     )
     whole = W.partitionBy(F.lit(1))
     report = listed.join(got, source_col, "left").fillna(0, ["actual_size", "documents", "copies"])

@@ -125,3 +125,16 @@ def test_mix_samples_evenly(spark):
     got = M.mix(df, targets)[0].where("source = 'a'").collect()
     sizes = np.bincount([r.n_tokens for r in got], minlength=10)[1:]
     assert sizes.min() > 70 and len(got) == pytest.approx(1000, rel=0.1)
+
+
+def test_pieces_of_one_hash_stay_apart(monkeypatch):
+    import numpy as np
+
+    from docveil.llm import encoding as E
+
+    cp = np.array([ord(c) for c in "ab cd ab xyz"], np.uint32)
+    starts, sizes = np.array([0, 2, 5, 8]), np.array([2, 3, 3, 4])
+    monkeypatch.setattr(E.WindowHash, "at", lambda self, start, width: np.zeros(len(start), np.uint64))
+    first, back = E.equal_pieces(cp, starts, sizes)
+    text = lambda k: "".join(map(chr, cp[starts[k] : starts[k] + sizes[k]]))
+    assert [text(first[b]) for b in back] == [text(k) for k in range(4)]
