@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docveil.llm import consistent
-from docveil.llm.scripts import LANGS, LATIN_EXTRA
+from docveil.llm import consistent, mojibake
+from docveil.llm.scripts import LANGS, LATIN_EXTRA, native
 
 REPAIRS = "array<struct<text:string,restored:string,chain:string>>"
 
@@ -219,6 +219,29 @@ def sizes(reading: str, chain: str, length: int) -> list[int]:
     return ends.tolist()
 
 
+@lru_cache(1)
+def unremarkable() -> np.ndarray:
+    """native(), and what a look-alike table replaces."""
+    known = native().copy()
+    for table in plain_tables():
+        known[:, list(table)] = True
+    known[:, consistent.NO_WIDTH] = True
+    return known
+
+
+@lru_cache(200_000)
+def likely_reading(token: str, lang: str) -> tuple[str, str] | tuple[()]:
+    """The first reading of a token with strange characters that has none, and its chain: for texts of which no posterior is known."""
+    number = LANGS.index(lang) if lang in LANGS else len(LANGS)
+    if all(c < "\x80" or unremarkable()[number, ord(c)] for c in token):
+        return ()
+    known, latin = native()[number], lang in LATIN_EXTRA or lang not in LANGS
+    for name, reading in mojibake.readings(token, (lang,) if lang in LANGS else tuple(LANGS)).items():
+        if all(c < "\x80" or known[ord(c)] for c in reading) and (name.startswith("utf-8") or not latin and not mojibake.has_latin_name(token)):
+            return reading, name
+    return ()
+
+
 @lru_cache(200_000)
 def plain_token(token: str, lang: str, restored: str | None = None, chain: str | None = None) -> tuple[str, tuple[int, ...]]:
     """The token's plain form and, for each of its characters, the position in the token; then the length."""
@@ -269,7 +292,8 @@ TOKEN = re.compile(r"[^ \n]+|[ \n]+")
 def view(text: str, lang: str, repairs: dict[str, tuple[str, str]] | None = None) -> tuple[str, list[int]]:
     """The plain form of a text and the stored position of each of its characters, and of its end.
 
-    repairs: by wrong word, what it was and the chain that spoilt it.
+    repairs: by wrong word, what it was and the chain that spoilt it; every other word is
+    right. Without repairs, None, a strange word is read by likely_reading().
     """
     if text.isascii():
         return text, list(range(len(text) + 1))
@@ -280,15 +304,15 @@ def view(text: str, lang: str, repairs: dict[str, tuple[str, str]] | None = None
             out.append(token)
             at.extend(range(base, m.end()))
         else:
-            t, p = plain_token(token, lang, *(repairs.get(token, ()) if repairs else ()))
+            t, p = plain_token(token, lang, *(likely_reading(token, lang) if repairs is None else repairs.get(token, ())))
             out.append(t)
             at.extend(base + x for x in p[:-1])
     return "".join(out), [*at, len(text)]
 
 
-def repairs_of(rows) -> dict[str, tuple[str, str]] | None:
-    """The argument of view() from an Arrow cell of repairs."""
-    return {r["text"]: (r["restored"], r["chain"]) for r in rows} if rows else None
+def repairs_of(rows) -> dict[str, tuple[str, str]]:
+    """The argument of view() from an Arrow cell of repairs, where null means that no word is wrong."""
+    return {r["text"]: (r["restored"], r["chain"]) for r in rows or ()}
 
 
 def sentence_ranges(text: str | None, lang: str | None, heading: bool = False, repairs: dict | None = None) -> list[tuple[int, int]]:
@@ -322,7 +346,7 @@ def sentences(df: DataFrame, keys: list[str], text_col: str = "text", lang_col:
 
     def run(batches):
         for batch in batches:
-            found = [sentence_ranges(t, lang, h, repairs_of(r)) for t, lang, h, r in zip(*(batch.column(n + k).to_pylist() for k in range(4)))]
+            found = [sentence_ranges(t, lang, h, repairs_of(r) if repairs_col else None) for t, lang, h, r in zip(*(batch.column(n + k).to_pylist() for k in range(4)))]
             counts = np.array([len(x) for x in found], np.int64)
             row = pa.array(np.repeat(np.arange(len(found)), counts))
             flat = [r for x in found for r in x]
