@@ -64,6 +64,11 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.select("path").repartition(tasks).mapInPandas(read, "path string, content binary")
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and content of all files that listed() gives."""
+    return with_content(listed(spark, paths))
+
+
 def pending(files: DataFrame, listed: DataFrame | None = None, path_col: str = "path") -> DataFrame:
     """files that are no outputs and whose output isn't listed. Null paths are left out.
 

@@ -123,6 +123,12 @@ def test_listing(spark, tmp_path):
     files = listing.read_files(spark, [str(tmp_path), str(tmp_path / "x.txt")])
     assert sorted(r.path.rsplit("/", 1)[1] for r in listing.pending(files).collect()) == ["a.pdf", "c.pdf", "x.txt"]
     assert listing.read_files(spark, []).count() == 0
+    assert {bytes(r.content) for r in files.collect()} == {b"x"}
+    # folders in folders and files in folders are listed once
+    twice = [str(tmp_path), str(tmp_path / "deep"), str(tmp_path / "a.pdf"), str(tmp_path / "x.txt"), str(tmp_path / "x.txt")]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in listing.listed(spark, twice).collect()) == ["a.pdf", "b.anon.pdf", "b.pdf", "c.pdf", "x.txt"]
+    gone = spark.createDataFrame([(str(tmp_path / "none.pdf"), 1)], "path string, length long")
+    assert [r.content for r in listing.with_content(gone).collect()] == [None]
     assert listing.model_folder(str(tmp_path / "deep")) is None
     for f in listing.MODEL_FILES:
         (tmp_path / "models" / "pii").mkdir(parents=True, exist_ok=True)
