@@ -400,13 +400,13 @@ def fit(rows: list[tuple], rounds: int = 4) -> dict[str, float]:
         if not cands:
             continue
         by_end, before = order(cands)
-        ids = [np.array([index.setdefault(f, len(index)) for f in feats[k]], np.int64) for k in by_end]
+        ids = np.array([index.setdefault(f, len(index)) for k in by_end for f in feats[k]], np.int32)
         places = [(*stored(text, at, cands[k][0], cands[k][1]), cands[k][2]) for k in by_end]
         known = {(a, b, t) for a, b, t in finds if t is not None}
         loose = {(a, b) for a, b, t in finds if t is None}
         gold = np.array([p in known or (p[:2] in loose and p[2] != 2) for p in places], float)
-        lens = np.array([len(x) for x in ids])
-        examples.append([np.concatenate(ids), np.concatenate([[0], np.cumsum(lens)[:-1]]), lens, before, clean(gold, before), np.array([p[2] for p in places])])
+        lens = np.array([len(feats[k]) for k in by_end])
+        examples.append([ids, np.concatenate([[0], np.cumsum(lens)[:-1]]), lens, before, clean(gold, before), np.array([p[2] for p in places])])
     for _ in range(rounds - 1):
         complete(examples, len(index))
     w = trained(examples, len(index))
