@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docveil.llm.codepoints import flat, groups, ragged, strings
 from docveil.llm.scripts import LANGS, lang_index
@@ -105,6 +105,16 @@ def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return script, alike, to
 
 
+def shown_lang(text: F.Column, lang: F.Column) -> F.Column:
+    """lang for a word that stands alone; null for Russian and Greek where the word has no letter that only their script has, as marks are often Latin there."""
+    script, alike, _ = letters()
+    own = {k: "[" + "".join(rf"\x{{{c:X}}}" for c in np.flatnonzero((script == s) & ~alike)) + "]" for k, s in (("ru", CYRILLIC), ("el", GREEK))}
+    out = F.when(~lang.isin(list(own)), lang)
+    for k, letter in own.items():
+        out = out.when((lang == k) & F.regexp_like(text, F.lit(letter)), lang)
+    return out
+
+
 @lru_cache(1)
 def compositions() -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys (first << 21 | second) and the composed character."""

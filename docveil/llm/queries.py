@@ -98,8 +98,13 @@ def p4_found(spark, d):
 
 
 def p4_words(spark, d):
-    words, paragraphs = _words(spark, d)
-    own = tables.with_lang(words, paragraphs).groupBy(*WORD).agg(F.max(F.struct("text", "lang")).alias("w")).select(*WORD, "w.*")
+    """Every word in its consistent form; a word outside paragraphs counts as of the language that most paragraphs of its document are in, if its letters allow that."""
+    paragraphs = tables.checkpointed(tables.paragraphs_with_lang(table(spark, d, "paragraphs")))
+    words = table(spark, d, "words").select(*WORD, "para_no", "text")
+    inside = tables.with_lang(words.where("para_no is not null"), paragraphs)
+    loose = words.where("para_no is null").join(tables.main_lang(paragraphs), "doc", "left")
+    held = inside.select(*WORD, "text", "lang").unionByName(loose.select(*WORD, "text", consistent.shown_lang(F.col("text"), F.col("lang")).alias("lang")))
+    own = held.groupBy(*WORD).agg(F.max(F.struct("text", "lang")).alias("w")).select(*WORD, "w.*")
     return consistent.consistent(own).select(*WORD, "text", "plain")
 
 

@@ -56,6 +56,12 @@ def with_lang(words: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return words.join(paragraphs.select("doc", "para_no", "lang").hint("shuffle_hash"), ["doc", "para_no"], "left")
 
 
+def main_lang(paragraphs: DataFrame) -> DataFrame:
+    """doc and lang: the language that most paragraphs of the document are in; of equally many the last by name."""
+    counts = paragraphs.where("lang is not null").groupBy("doc", "lang").agg(F.count("*").alias("n"))
+    return counts.groupBy("doc").agg(F.max(F.struct("n", "lang")).alias("m")).select("doc", "m.lang")
+
+
 def words_of(paragraphs: DataFrame) -> DataFrame:
     """source (the document), lang and text of every word of the paragraphs, which are their words joined by U+0020."""
     return paragraphs.select(F.col("doc").alias("source"), "lang", F.explode(F.split("text", " ")).alias("text"))

@@ -328,3 +328,13 @@ def test_masking(spark):
 def test_candidates_are_bounded_by_characters_alone(text, lang, item, kind):
     at = text.index(item)
     assert (at, at + len(item), kind) in P.candidates(text, lang)
+
+
+def test_words_outside_paragraphs_come_out_too(spark, tmp_path):
+    from docveil.llm import queries
+
+    words = [("d", 1, 0, "дoм", 0), ("d", 1, 1, "мaрт", None), ("d", 1, 1, "мaрт", None), ("d", 1, 2, "COРY", None), ("e", 1, 0, "COРY", None)]
+    spark.createDataFrame(words, "doc string, page_no int, word_no int, text string, para_no int").write.parquet(f"{tmp_path}/words.parquet")
+    spark.createDataFrame([("d", 0, "дом", "ru", "2024-01-01")], "doc string, para_no int, text string, lang string, loaded_at string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    got = {(r.doc, r.page_no, r.word_no): r.plain for r in queries.p4_words(spark, str(tmp_path)).collect()}
+    assert got == {("d", 1, 0): "дом", ("d", 1, 1): "март", ("d", 1, 2): "COPY", ("e", 1, 0): "COPY"}
