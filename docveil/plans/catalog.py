@@ -254,7 +254,7 @@ def pdf_redaction_boxes(spark, d):
 
 
 def pdf_face_marks(spark, d):
-    return made_files.face_marks(table(spark, d, "customer"))
+    return made_files.face_marks(spread(table(spark, d, "customer").select("c_custkey")))
 
 
 def pdf_purged_images(spark, d):

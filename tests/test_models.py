@@ -96,6 +96,31 @@ def test_faces(spark):
     assert {r.obj_id: (r.has_face, r.error is None) for r in got} == {1: (True, True), 2: (False, True), 3: (False, False)}
 
 
+def test_equal_pictures_are_scored_once(spark):
+    def load():
+        calls = []
+
+        def score(x):
+            calls.append(x)
+            if len(calls) > 2:
+                raise RuntimeError("scored again")
+            return np.array([[[0.0, float(x.max())]]])
+
+        return score
+
+    df = spark.createDataFrame([("d", k, bytearray([255 * (k % 2)])) for k in range(6)], "doc string, obj_id int, content binary").coalesce(1)
+    got = faces.marked(df, load, lambda b: np.full((4, 4, 3), b[0], np.uint8)).collect()
+    assert {r.obj_id: (r.has_face, r.error) for r in got} == {k: (k % 2 == 1, None) for k in range(6)}
+
+
+@pytest.mark.parametrize("query", ["pdf_face_marks"])
+def test_small_tables_are_dealt_over_the_cores(spark, query):
+    import __spark_entry__ as e
+
+    plan = e.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().logical().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
+
+
 def png(gray: int) -> bytes:
     """A picture of 4 by 3 pixels of one grey."""
     import struct
