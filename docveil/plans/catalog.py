@@ -258,7 +258,7 @@ def pdf_face_marks(spark, d):
 
 
 def pdf_purged_images(spark, d):
-    return made_files.purged_images(table(spark, d, "customer"))
+    return made_files.purged_images(spread(table(spark, d, "customer").select("c_custkey")))
 
 
 def ner_entities(spark, d):
