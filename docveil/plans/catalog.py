@@ -266,7 +266,7 @@ def ner_entities(spark, d):
 
 
 def ner_windows(spark, d):
-    return made_files.long_entities(mails(spark, d), ["c_custkey"])
+    return made_files.long_entities(spread(mails(spark, d)), ["c_custkey"])
 
 
 def decoder_glyphs(spark, d):

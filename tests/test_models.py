@@ -113,7 +113,7 @@ def test_equal_pictures_are_scored_once(spark):
     assert {r.obj_id: (r.has_face, r.error) for r in got} == {k: (k % 2 == 1, None) for k in range(6)}
 
 
-@pytest.mark.parametrize("query", ["pdf_face_marks", "pdf_purged_images"])
+@pytest.mark.parametrize("query", ["pdf_face_marks", "pdf_purged_images", "ner_windows"])
 def test_small_tables_are_dealt_over_the_cores(spark, query):
     import __spark_entry__ as e
 
