@@ -490,12 +490,18 @@ def labelled(paragraphs: DataFrame, finds: DataFrame) -> DataFrame:
     return paragraphs.where(F.char_length("text") <= SAMPLE_CHARS).join(own, ["doc", "para_no"]).withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= SAMPLE).select("text", "lang", "repairs", "finds")
 
 
-def learned(paragraphs: DataFrame, finds: DataFrame) -> dict[str, float]:
-    """Weights fitted on the driver from the bounded sample."""
-    rows = labelled(paragraphs, finds).toArrow().to_pylist()
+def learned(paragraphs: DataFrame, finds: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """Features and their weights, fitted from the bounded sample in one task, so that only the weights come to the driver."""
     number = {t: i for i, t in enumerate(TYPES)}
-    rows.sort(key=lambda r: (r["lang"] or "", r["text"]))
-    return fit([(r["text"], r["lang"], repairs_of(r["repairs"]), [(f["start_pos"], f["end_pos"], number.get(f["type"])) for f in r["finds"]]) for r in rows if r["text"]])
+
+    def run(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        rows.sort(key=lambda r: (r["lang"] or "", r["text"]))
+        w = fit([(r["text"], r["lang"], repairs_of(r["repairs"]), [(f["start_pos"], f["end_pos"], number.get(f["type"])) for f in r["finds"]]) for r in rows if r["text"]])
+        yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.string()), pa.array(list(w.values()), pa.float64())], names=["feature", "weight"])
+
+    found = labelled(paragraphs, finds).repartition(1).mapInArrow(run, "feature string, weight double").toArrow().combine_chunks()
+    return tuple(pa.concat_arrays(c.chunks) if c.chunks else pa.array([], c.type) for c in found.columns)
 
 
 def items(paragraphs: DataFrame, finds: DataFrame, keys: list[str]) -> DataFrame:
@@ -505,7 +511,7 @@ def items(paragraphs: DataFrame, finds: DataFrame, keys: list[str]) -> DataFrame
     n = len(keys)
 
     def run(batches):
-        w = weights.value
+        w = dict(zip(*(x.to_pylist() for x in weights.value)))
         for batch in batches:
             found = [find(t, lang, repairs_of(r), w) for t, lang, r in zip(*(batch.column(n + k).to_pylist() for k in range(3)))]
             row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64))

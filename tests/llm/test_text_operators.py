@@ -338,3 +338,16 @@ def test_words_outside_paragraphs_come_out_too(spark, tmp_path):
     spark.createDataFrame([("d", 0, "дом", "ru", "2024-01-01")], "doc string, para_no int, text string, lang string, loaded_at string").write.parquet(f"{tmp_path}/paragraphs.parquet")
     got = {(r.doc, r.page_no, r.word_no): r.plain for r in queries.p4_words(spark, str(tmp_path)).collect()}
     assert got == {("d", 1, 0): "дом", ("d", 1, 1): "март", ("d", 1, 2): "COPY", ("e", 1, 0): "COPY"}
+
+
+def test_the_field_is_not_fitted_on_the_driver(spark, monkeypatch):
+    def trained(*_):
+        raise MemoryError("on the driver")
+
+    monkeypatch.setattr(P, "trained", trained)  # the workers have their own
+    text = "Mail an jo.wolf{}@post.example heute."
+    rows = [("d", k, text.format(k), "de", None) for k in range(30)]
+    paragraphs = spark.createDataFrame(rows, "doc string, para_no int, text string, lang string, repairs array<struct<text:string,restored:string,chain:string>>")
+    finds = spark.createDataFrame([("d", k, 8, text.format(k).index(" heute"), "EMAIL") for k in range(20)], "doc string, para_no int, start_pos int, end_pos int, label string")
+    got = {(r.para_no, r.start_pos, r.end_pos, r.label) for r in P.items(paragraphs, finds, ["doc", "para_no"]).collect()}
+    assert got == {(k, 8, text.format(k).index(" heute"), "EMAIL") for k in range(30)}
